@@ -1,0 +1 @@
+"""No operator of this engine is a stream: every query reads bounded tables (see README)."""
