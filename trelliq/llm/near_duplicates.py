@@ -112,9 +112,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words_in_shingle:
     Null ids and texts and texts with fewer words than a shingle have no row; repeated rows count once; extra columns
     are ignored, whatever their names. An empty table gives two empty frames.
     """
-    features = shingle_hashes(words(F.col(text_col)), words_in_shingle)
-    sets = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), features.alias("features")).filter("size(features) > 0")
-    sets = written(sets.withColumn("key", F.unhex(F.md5(F.array_join(F.col("features").cast("array<string>"), ",")))), "sets")
+    sets = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("words"))
+    # Written before anything looks at the features: a filter would push their computation down and repeat it.
+    sets = written(sets.select("id", shingle_hashes("words", words_in_shingle).alias("features")), "sets").filter("size(features) > 0")
+    sets = sets.withColumn("key", F.unhex(F.md5(F.array_join(F.col("features").cast("array<string>"), ","))))
     classes = written(sets.groupBy("key", "features").agg(F.min("id").alias("class_id")), "classes")
     members = sets.select("key", "id").distinct().join(classes.select("key", "class_id"), "key").select("class_id", "id")
 

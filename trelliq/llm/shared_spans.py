@@ -247,8 +247,8 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 160,
     """(id, start_at, end_at) of each longest unbroken run of shared characters of every document.
 
     A character is shared when it lies in ``length`` consecutive characters (code points, compared exactly) that also
-    stand in a row with another id. Rows with a null id or text and texts shorter than ``length`` share nothing; repeated
-    rows of one id do not share with each other. Extra columns are ignored, whatever their names. An empty table gives an
+    stand in a row with another id. Rows with a null id or text and texts shorter than ``length`` share nothing; an id
+    names one text, and repeated rows of it do not share with each other. Extra columns are ignored, whatever their names. An empty table gives an
     empty frame.
     """
     gram = gram or max(1, length * 2 // 5)

@@ -11,21 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trelliq.llm.words import words
+from trelliq.llm.words import shingles, words
 from trelliq.session import written
 
 TRAIN, EVAL = 1, 2
 
 
-def word_shingles(text: Column, n: int) -> Column:
-    """Sorted distinct runs of ``n`` words, as strings; null for a null text."""
-    w = words(text)
-    if n > 1:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - F.lit(n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-        w = F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(w))
-
-
 def at_least(share: float, n: Column) -> Column:
     """The smallest integer that is ``share`` of ``n`` or more; the small term undoes rounding of doubles."""
     return F.ceil(F.lit(share) * n - F.lit(1e-9))
@@ -72,9 +63,10 @@ def cross_split_overlaps(records: DataFrame, splits: DataFrame, words_in_shingle
     """
     sides = written(sides_of(splits), "sides")
     own = records.select("query_id", "query").filter("query_id IS NOT NULL").distinct()
-    items = word_shingles(F.col("query"), words_in_shingle)
-    members = own.join(sides, "query_id").select("query_id", "side", items.alias("items")).filter("size(items) > 0")
-    members = written(members.withColumn("key", F.unhex(F.md5(F.array_join("items", " ")))), "members")
+    members = own.join(sides, "query_id").select("query_id", "side", words(F.col("query")).alias("words"))
+    # Written before anything looks at the items: a filter would push their computation down and repeat it.
+    members = written(members.select("query_id", "side", shingles("words", words_in_shingle).alias("items")), "members").filter("size(items) > 0")
+    members = members.withColumn("key", F.unhex(F.md5(F.array_join("items", " "))))
     sets = members.groupBy("key", "items").agg(F.expr("bit_or(side)").alias("sides"))
     pairs = similar_sets(sets, threshold)
 

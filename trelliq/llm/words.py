@@ -22,10 +22,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def shingle_hashes(word_list: Column, n: int) -> Column:
-    """Sorted distinct 64-bit hashes of the runs of ``n`` words; empty for fewer words, null for null."""
+def shingle_hashes(word_list: str, n: int) -> Column:
+    """Sorted distinct 64-bit hashes of the runs of ``n`` words; empty for fewer words, null for null.
+
+    ``word_list`` names a column: an expression would be evaluated again for each run.
+    """
     at = F.sequence(F.lit(1), F.size(word_list) - F.lit(n - 1))
     runs = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(word_list, i, n), " ")))
     return F.when(F.size(word_list) >= n, F.array_sort(F.array_distinct(runs))).when(
-        word_list.isNotNull(), F.array().cast("array<bigint>")
+        F.col(word_list).isNotNull(), F.array().cast("array<bigint>")
     )
+
+
+def shingles(word_list: str, n: int) -> Column:
+    """Sorted distinct runs of ``n`` words, as strings; ``word_list`` names a column."""
+    if n == 1:
+        return F.array_sort(F.array_distinct(word_list))
+    at = F.sequence(F.lit(1), F.size(word_list) - F.lit(n - 1))
+    runs = F.transform(at, lambda i: F.array_join(F.slice(word_list, i, n), " "))
+    return F.array_sort(F.array_distinct(F.when(F.size(word_list) >= n, runs).otherwise(F.array().cast("array<string>"))))
