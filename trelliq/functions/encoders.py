@@ -9,6 +9,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from trelliq.session import ship
+
 
 def hashed_vectors(texts: list[str], width: int) -> np.ndarray:
     """Signed word hashes of each text, scaled to length one; a text without words is all zeros."""
@@ -24,6 +26,8 @@ def hashed_vectors(texts: list[str], width: int) -> np.ndarray:
 def encoded(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 512) -> DataFrame:
     """(key, embedding) of (key, text). ``load`` runs once a task and returns the function that encodes a batch."""
 
+    ship(rows.sparkSession)
+
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for pdf in frames:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trelliq.functions.vectors import dot
 from trelliq.operators.skew import key_percentiles
-from trelliq.session import sized
+from trelliq.session import ship, sized
 
 #: Queries of a search are compared with all rows in blocks of at most so many.
 BLOCK = 4096
@@ -49,6 +49,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, apart: bool = False
     rows in blocks of a bounded size; each task keeps k rows a query, and these alone are shuffled.
     """
     spark = base.sparkSession
+    ship(spark)
     # The table is laid out by size, so the number of blocks follows the stated query set and not the base.
     count = queries.count()
     parts = -(-count // block) or 1

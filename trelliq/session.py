@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,21 @@ def build_session(master: str = "local[8]", app: str = "trelliq", **conf: str) -
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once: they need not find it by themselves."""
+    context = spark.sparkContext
+    if getattr(context, "_trelliq_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="trelliq-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "trelliq.zip", "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(folder / "trelliq.zip"))
+    context._trelliq_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +63,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written as a table in the shared folder and read again: later stages survive a lost executor."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = urlparse(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trelliq.session import ship
+
 CORPUS = "id string, text string"
 MERGED = "query string, query_id string, pos string, pos_id string, neg array<string>, neg_id array<string>, loaded_at timestamp_ntz"
 NEGATIVE_SCORES = "query_id string, query string, neg_id string, neg_reuse_count bigint, neg_similarity double, scored_at timestamp_ntz"
@@ -25,4 +27,5 @@ SCHEMAS = {
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder``; a column that the file lacks is null."""
+    ship(spark)
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
