@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trelliq.session import ship
+
 BITS_PER_HASH = 16
 MAX_BITS = 1 << 28
 SEGMENT_BITS = 1 << 16
@@ -106,6 +108,7 @@ def merged_filter(segments: DataFrame, bits: int) -> np.ndarray:
 
 def seen_twice(df: DataFrame, column: str, n_hashes: int, max_bits: int = MAX_BITS) -> np.ndarray:
     """Bitmap of the values of a bigint column that occur more than once; nulls are left out."""
+    ship(df.sparkSession)
     bits = filter_bits(n_hashes, max_bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trelliq.llm.bloom import MAX_BITS, SEGMENTS, SeenTwice, filter_bits, has, merged_filter, positions
-from trelliq.session import sized, written
+from trelliq.session import ship, sized, written
 
 CHUNK = 1 << 20
 POSITION_BITS = 22
@@ -126,6 +126,7 @@ WINDOWS = "sig bigint, off int, n_starts int, region bigint, at bigint, text str
 
 def scan(df: DataFrame, length: int, gram: int, bits: int, bitmap: np.ndarray | None) -> DataFrame:
     """Segments of the filter of signatures, or with a bitmap the windows whose signature it holds. ``df``: (id, text)."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

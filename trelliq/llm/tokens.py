@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from trelliq.session import ship
+
 TOKENIZERS = "/opt/tokenizers"
 
 #: Fixed value: the public pattern that splits text before merging.
@@ -142,6 +144,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKEN
     A null or an empty text has an empty list; repeated rows are kept; text that looks like a special token is ordinary
     text. Other columns are ignored, whatever their names. An empty table gives an empty frame.
     """
+    ship(df.sparkSession)
     path = f"{tokenizers}/{vocabulary}.tiktoken"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +160,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKEN
 
 def token_counts(df: DataFrame, text_col: str, keep: list[str], tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """The columns ``keep`` of every row, and n_tokens, the number of tokens of its text (0 for null and empty)."""
+    ship(df.sparkSession)
     path = f"{tokenizers}/{vocabulary}.tiktoken"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
