@@ -249,3 +249,18 @@ def test_spans_of_string_ids_and_empty(spark):
 def test_merged_runs(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 2, 3), (1, 11, 12), (2, 4, 6)], "id int, start_at bigint, end_at bigint")
     assert once(merged_runs(df), "id", "start_at", "end_at") == {(1, 0, 9), (1, 11, 12), (2, 4, 6)}
+
+
+@pytest.mark.parametrize("name", sorted(q.SQL))
+def test_same_as_sql(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for file in os.listdir(SMALL):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{SMALL}/{file}'")
+    wanted = con.execute(q.SQL[name]).fetch_df()
+    found = q.QUERIES[name](spark, SMALL)
+    assert sorted(found.columns) == sorted(wanted.columns)
+    assert sorted(rows(found, *sorted(wanted.columns)), key=str) == sorted(wanted[sorted(wanted.columns)].astype(object).where(wanted.notna(), None).itertuples(index=False, name=None), key=str)
