@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trelliq.session import written
+from trelliq.session import discard, written
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def component_labels(edges: DataFrame) -> DataFrame:
         new = written(small.filter("u <> v").distinct(), "edges")
         # Same number of edges and same edges: each node hangs on its component's smallest.
         if new.count() == e.count() and not new.join(e, ["u", "v"], "left_anti").head(1):
+            discard(new)
             break
+        discard(e)
         e = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

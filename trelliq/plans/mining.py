@@ -10,6 +10,7 @@ from trelliq.operators import graph, integrity, ledger as book, metrics, negativ
 from trelliq.operators.filters import degenerate_passages, seeded, with_content
 from trelliq.plans import sql as s
 from trelliq.plans.cleaning import assigned, cleaned, kept, merged_groups
+from trelliq.session import written
 from trelliq.sources.tables import table
 
 SHARES = [0.5, 0.75, 0.9, 0.95, 0.975, 0.99, 0.995, 0.999]
@@ -71,27 +72,26 @@ def similarity_percentiles(spark, folder):
     return similarity.distribution(scored_pairs(spark, folder), "similarity", SHARES)
 
 
-def cutoff(spark, folder) -> DataFrame:
+def cutoff(spark, folder, candidates: DataFrame) -> DataFrame:
     """One row: the fifth percentile of positive similarity over queries with a much reused negative."""
-    candidates = negatives.high_reuse_pairs(cleaned(spark, folder)).select("query_id").distinct()
-    positives = kept(spark, folder).select("query_id", "pos_id").join(candidates, "query_id", "left_semi")
+    asked_for = candidates.select("query_id").distinct()
+    positives = kept(spark, folder).select("query_id", "pos_id").join(asked_for, "query_id", "left_semi")
     scored = similarity.pair_similarity(positives, table(spark, folder, "embeddings"), "query_id", "pos_id")
     found = similarity.key_percentiles(scored.withColumn("k", F.lit(1)), "k", "similarity", [0.05])
     return found.select(F.round("percentile", 6).alias("threshold"))
 
 
 def fn_threshold(spark, folder):
-    return cutoff(spark, folder)
-
-
-def flagged(spark, folder) -> DataFrame:
-    candidates = negatives.high_reuse_pairs(cleaned(spark, folder))
-    scored = similarity.pair_similarity(candidates, table(spark, folder, "embeddings"), "query_id", "neg_id")
-    return scored.crossJoin(F.broadcast(cutoff(spark, folder))).filter(F.round("similarity", 6) >= F.col("threshold")).select("query_id", "neg_id")
+    return cutoff(spark, folder, written(negatives.high_reuse_pairs(cleaned(spark, folder)), "candidates"))
 
 
 def drop_false_negatives(spark, folder):
-    return negatives.without_pairs(cleaned(spark, folder), flagged(spark, folder)).select("query_id", "place", "neg_id")
+    """Edges without the much reused pairs at or above the calibrated cutoff; edges and candidates are made once."""
+    edges = written(cleaned(spark, folder), "edges")
+    candidates = written(negatives.high_reuse_pairs(edges), "candidates")
+    scored = similarity.pair_similarity(candidates, table(spark, folder, "embeddings"), "query_id", "neg_id")
+    flagged = scored.crossJoin(F.broadcast(cutoff(spark, folder, candidates))).filter(F.round("similarity", 6) >= F.col("threshold"))
+    return negatives.without_pairs(edges, flagged).select("query_id", "place", "neg_id")
 
 
 def fn_stats(spark, folder):
@@ -144,14 +144,16 @@ def mine_negatives(spark, folder):
 
 
 def sanitize_negatives(spark, folder):
-    rows = splits.inherited(cleaned(spark, folder), partition(spark, folder))
-    return negatives.sanitized(rows, partition(spark, folder)).select("query_id", "pos_id", "place", "neg_id")
+    part = written(partition(spark, folder), "partition")
+    rows = splits.inherited(cleaned(spark, folder), part)
+    return negatives.sanitized(rows, part).select("query_id", "pos_id", "place", "neg_id")
 
 
 def mining_stats(spark, folder):
     """Counters over the edges of training queries: kept, out of partition, queries short of the budget, mean kept."""
-    rows = splits.inherited(cleaned(spark, folder), partition(spark, folder)).filter("split = 'train'")
-    home = partition(spark, folder).select(F.col("id").alias("neg_id"), (F.col("split") == "train").alias("inside"))
+    part = written(partition(spark, folder), "partition")
+    rows = splits.inherited(cleaned(spark, folder), part).filter("split = 'train'")
+    home = part.select(F.col("id").alias("neg_id"), (F.col("split") == "train").alias("inside"))
     q = rows.join(home, "neg_id").groupBy("query_id").agg(F.count_if("inside").alias("k"), F.count_if(~F.col("inside")).alias("out"))
     return q.agg(F.count("*").alias("n_queries"), F.sum("k").alias("n_kept"), F.sum("out").alias("n_out"), F.count_if(F.col("k") < BUDGET).alias("n_short"), F.count_if(F.col("k") == 0).alias("n_empty"), F.round(F.avg("k"), 9).alias("mean_kept"))
 
@@ -190,12 +192,14 @@ def greedy_splits(spark, folder):
 
 
 def passage_labels(spark, folder):
-    rows = inherited(spark, folder)
-    return splits.passage_labels(table(spark, folder, "corpus"), rows.select("pos_id", "split"), cleaned(spark, folder))
+    rows = written(inherited(spark, folder).select("pos_id", "split"), "inherited")
+    return splits.passage_labels(table(spark, folder, "corpus"), rows, cleaned(spark, folder))
 
 
 def leakage_audit(spark, folder):
-    return splits.leakage_audit(assigned(spark, folder), partition(spark, folder))
+    # Each of the fourteen checks reads these: made once.
+    rows = written(assigned(spark, folder).select("query_id", "query", "pos_id", "neg_id", "split"), "assigned")
+    return splits.leakage_audit(rows, written(partition(spark, folder), "partition"))
 
 
 def leakage_asserts(spark, folder):
@@ -228,11 +232,12 @@ def warning_gates(spark, folder):
 def stages(spark, folder) -> DataFrame:
     """The ledger of the cleaning steps, with both units at every stage."""
     merged = table(spark, folder, "merged")
-    k, c = kept(spark, folder), cleaned(spark, folder)
+    k, c = written(kept(spark, folder).select("query_id", "query", "pos"), "kept"), written(cleaned(spark, folder), "edges")
     content = with_content(k).select("query_id")
     rule = t.has(F.col("query"), t.REFERRING) & t.has(F.col("query"), t.UNDERSPECIFIED) & ~t.has(F.col("query"), t.SEED_ENTITY)
     named = with_content(k).filter(~rule).select("query_id")
     pruned = c.join(scored_pairs(spark, folder).filter(F.col("similarity") >= FALSE_NEGATIVE), ["query_id", "neg_id"], "left_anti").join(named, "query_id", "left_semi")
+    pruned = written(pruned, "pruned")
     capped = negatives.capped(pruned, BUDGET)
     steps = [
         ("00_raw", merged, integrity.edges(merged)), ("01_structural", k, c), ("02_degenerate", content, c.join(content, "query_id", "left_semi")),

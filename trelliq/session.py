@@ -69,7 +69,17 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     where = urlparse(path)
     if where.scheme in ("", "file") and os.path.isdir(where.path):
         atexit.register(shutil.rmtree, where.path, ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._trelliq_table = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of ``written``; for one that a loop has replaced and no later result reads."""
+    path = getattr(df, "_trelliq_table", None)
+    if path:
+        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def sized(df: DataFrame, row_bytes: int, limit_mb: int = BROADCAST_MB) -> DataFrame:
