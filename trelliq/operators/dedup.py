@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from trelliq.functions.text import matching_form, query_form
 from trelliq.operators.integrity import clean_edges, first_places
+from trelliq.session import written
 
 
 def canonical_passages(corpus: DataFrame) -> DataFrame:
     """(id, canonical_id): the smallest id with the same normalized text; a null text stands for itself.
 
-    Grouped first, so that a text copied very often is one row before anything is joined.
+    Normalized once and grouped by digest, so that long texts are not shuffled and a text copied very often is one row
+    before anything is joined.
     """
-    forms = corpus.select("id", matching_form(F.col("text")).alias("form"))
+    forms = written(corpus.select("id", F.sha2(matching_form(F.col("text")), 256).alias("form")), "forms")
     named = forms.filter("form IS NOT NULL")
     groups = named.groupBy("form").agg(F.min("id").alias("canonical_id"))
     return named.join(groups, "form").select("id", "canonical_id").unionByName(forms.filter("form IS NULL").select("id", F.col("id").alias("canonical_id")))
