@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trelliq.session import written
+from trelliq.session import discard, written
 
 #: A seed graph of at most so many edges is merged in one task.
 SMALL_EDGES = 200_000
@@ -55,7 +55,10 @@ def search(edges: DataFrame, hops: int = HOPS) -> DataFrame:
     nodes = written(rank.join(best, "node").select("node", F.when(F.col("rank") > F.col("best"), F.col("node")).alias("label")), "nodes")
     for _ in range(hops):
         reached = both.join(nodes.filter("label IS NOT NULL").withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        nodes = written(nodes.join(reached, "node", "left").select("node", F.coalesce("label", "new").alias("label")), "nodes")
+        grown = written(nodes.join(reached, "node", "left").select("node", F.coalesce("label", "new").alias("label")), "nodes")
+        discard(nodes)
+        nodes = grown
+    discard(both)
     return nodes.select("node", F.coalesce("label", "node").alias("label"))
 
 
