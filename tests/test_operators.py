@@ -216,3 +216,30 @@ def test_vocabulary(spark):
     for r in vocab.found_terms(q, vocab.vocabulary(vocab.parsed_records(blocks))).orderBy("query_id", "place").collect():
         found[r["query_id"]].append(r["term"])
     assert found == {"a": ["MRI", "Nurick scale", "cavolous nephrelitis", "brachocele"], "b": ["Clavien-Dindo", "Clavien-Dindo grade"]}
+
+
+def test_config_matrix(spark):
+    qrels = spark.createDataFrame([("full", "q1", "a", 1), ("full", "q2", "b", 1), ("part", "q1", "a", 1)], "tier string, query_id string, id string, grade int")
+    run = [("one", "full", "q1", "a", 0.9), ("one", "full", "q1", "z", 0.5), ("two", "full", "q1", "z", 0.9), ("two", "full", "q1", "a", 0.5), ("one", "part", "q1", "z", 1.0)]
+    found = {(r["config"], r["tier"]): (r["n_queries"], r["mrr"]) for r in metrics.config_matrix(spark.createDataFrame(run, "config string, tier string, query_id string, id string, score double"), qrels).collect()}
+    assert found == {("one", "full"): (2, 0.5), ("two", "full"): (2, 0.25), ("one", "part"): (1, 0.0)}
+
+
+def test_faithfulness_and_kappa(spark):
+    rows = [("x", "c1", 1, 0.2), ("x", "c1", 2, 0.8), ("x", "c2", 1, 0.4), ("y", "c1", 1, None)]
+    found = {r["answer_id"]: (r["n_claims"], r["n_supported"], r["share"]) for r in metrics.faithfulness(spark.createDataFrame(rows, "answer_id string, claim string, chunk int, entailment double")).collect()}
+    assert found == {"x": (2, 1, 0.5), "y": (1, 0, 0.0)}
+    labels = [("y", "y")] * 20 + [("y", "n")] * 5 + [("n", "y")] * 10 + [("n", "n")] * 15 + [(None, "y")]
+    (k,) = metrics.kappa(spark.createDataFrame(labels, "a string, b string")).collect()
+    assert k["n"] == 50 and k["kappa"] == pytest.approx(0.4)
+
+
+def test_entity_sources(spark):
+    q = spark.createDataFrame([("a", "new syndrome"), ("b", "velaromegaly"), ("c", None)], "query_id string, query string")
+    seen = lambda df: {r["query_id"]: r["has_entity"] for r in df.collect()}
+    flags, source = filters.entity_flags(q)
+    assert seen(flags) == {"a": True, "b": False, "c": False} and source.startswith("seed")
+    flags, source = filters.entity_flags(q, spark.createDataFrame([("b", "velaromegaly")], "query_id string, term string"))
+    assert seen(flags) == {"a": False, "b": True, "c": False} and source == "gazetteer"
+    flags, source = filters.entity_flags(q, detect=lambda c: c.contains("new"))
+    assert seen(flags) == {"a": True, "b": False, "c": False} and source == "model"

@@ -68,3 +68,17 @@ def stratified_sample(flags: DataFrame, flag: str, per_stratum: int, seed: int =
     """(query_id, flag): the first ``per_stratum`` of each stratum in seeded order."""
     nth = F.row_number().over(Window.partitionBy(flag).orderBy("h", "query_id"))
     return flags.withColumn("h", seeded(seed, "query_id")).withColumn("nth", nth).filter(F.col("nth") <= per_stratum).select("query_id", flag)
+
+
+def entity_flags(queries: DataFrame, terms: DataFrame | None = None, detect=None) -> tuple[DataFrame, str]:
+    """((query_id, has_entity), source) by the best detector at hand.
+
+    ``detect`` (a column expression over the query, such as a model's UDF) comes first, then ``terms`` found in queries
+    (query_id, term) by a gazetteer, then the seed words. Rates of different sources are not to be compared.
+    """
+    if detect is not None:
+        return queries.select("query_id", F.coalesce(detect(F.col("query")), F.lit(False)).alias("has_entity")), "model"
+    if terms is not None:
+        named = terms.select("query_id", F.lit(True).alias("named")).distinct()
+        return queries.select("query_id").join(named, "query_id", "left").select("query_id", F.coalesce("named", F.lit(False)).alias("has_entity")), "gazetteer"
+    return queries.select("query_id", F.coalesce(t.has(F.col("query"), t.SEED_ENTITY), F.lit(False)).alias("has_entity")), "seed words (not validated)"

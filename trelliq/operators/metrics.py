@@ -70,3 +70,37 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str, resamples: int = 1
     ends = draws.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("below"))
     mean = F.broadcast(d.agg(F.avg("d").alias("mean_difference")))
     return ends.crossJoin(mean).select("mean_difference", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (2 * F.least("below", 1 - F.col("below"))).alias("p"))
+
+
+def config_matrix(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(config, tier, n_queries, ndcg, recall, precision, mrr, hit) of all runs of (config, tier, query_id, id, score).
+
+    One pass scores every configuration: the run's name becomes part of the query's. ``qrels`` has (tier, query_id, id,
+    grade); a configuration is scored on all graded queries of its tier.
+    """
+    name = F.to_json(F.struct("config", "tier", "query_id"))
+    tagged = runs.select(name.alias("query_id"), "id", "score")
+    known = runs.select("config", "tier").distinct().join(qrels, "tier").select(name.alias("query_id"), "id", "grade")
+    scores = per_query(tagged, known, k)
+    parts = scores.select("*", F.get_json_object("query_id", "$.config").alias("config"), F.get_json_object("query_id", "$.tier").alias("tier"))
+    return parts.groupBy("config", "tier").agg(F.count("*").alias("n_queries"), *(F.round(F.avg(c), 9).alias(c) for c in ("ndcg", "recall", "precision", "mrr", "hit")))
+
+
+def faithfulness(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(answer_id, n_claims, n_supported, share, weakest) of (answer_id, claim, chunk, entailment).
+
+    A claim is supported when its best chunk reaches the threshold; a null score supports nothing.
+    """
+    best = claims.groupBy("answer_id", "claim").agg(F.max("entailment").alias("best"))
+    ok = F.coalesce(F.col("best") >= threshold, F.lit(False))
+    return best.groupBy("answer_id").agg(F.count("*").alias("n_claims"), F.count_if(ok).alias("n_supported"), F.avg(ok.cast("double")).alias("share"), F.min(F.coalesce("best", F.lit(0.0))).alias("weakest"))
+
+
+def kappa(pairs: DataFrame) -> DataFrame:
+    """(n, agreement, kappa) of two raters' labels (a, b); kappa is 1 where chance alone would always agree."""
+    c = pairs.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    whole = F.broadcast(c.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same")))
+    left, right = c.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("na")), c.groupBy(F.col("b").alias("x")).agg(F.sum("n").alias("nb"))
+    chance = F.broadcast(left.join(right, "x").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("both")))
+    r = whole.crossJoin(chance).select(F.coalesce("all", F.lit(0)).alias("n"), F.try_divide("same", "all").alias("agreement"), F.try_divide("both", F.col("all") * F.col("all")).alias("e"))
+    return r.select("n", "agreement", F.when(F.col("e") == 1, 1.0).otherwise(F.try_divide(F.col("agreement") - F.col("e"), 1 - F.col("e"))).alias("kappa"))
