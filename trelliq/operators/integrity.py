@@ -14,9 +14,8 @@ def loaded_first() -> list:
 
 
 def flagged(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``rows`` with a boolean for each defect."""
+    """``rows`` with a boolean for each defect that a row shows by itself."""
     known = corpus.select(F.col("id").alias("pos_id"), F.lit(True).alias("known_pos")).distinct()
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*loaded_first()))
     return (
         rows.join(known, "pos_id", "left")
         .withColumn("null_query", blank(F.col("query")))
@@ -24,24 +23,31 @@ def flagged(rows: DataFrame, corpus: DataFrame) -> DataFrame:
         .withColumn("orphan_pos", F.col("known_pos").isNull())
         .withColumn("no_negatives", F.coalesce(F.size("neg_id") <= 0, F.lit(True)))
         .withColumn("self_negative", F.coalesce(F.array_contains("neg_id", F.col("pos_id")), F.lit(False)))
-        .withColumn("duplicate_query_id", nth > 1)
         .drop("known_pos")
     )
 
 
-DEFECTS = ["null_query", "null_pos", "orphan_pos", "no_negatives", "self_negative", "duplicate_query_id"]
+ROW_DEFECTS = ["null_query", "null_pos", "orphan_pos", "no_negatives", "self_negative"]
+DEFECTS = [*ROW_DEFECTS, "duplicate_query_id"]
 
 
 def defect_summary(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """(defect, n, rate)."""
-    sums = flagged(rows, corpus).agg(F.count("*").alias("rows"), *(F.sum(F.col(d).cast("bigint")).alias(d) for d in DEFECTS))
+    sums = flagged(rows, corpus).agg(F.count("*").alias("rows"), *(F.sum(F.col(d).cast("bigint")).alias(d) for d in ROW_DEFECTS))
+    repeats = rows.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicate_query_id"))
     stacked = ", ".join(f"'{d}', {d}" for d in DEFECTS)
-    return sums.selectExpr("rows", f"stack({len(DEFECTS)}, {stacked}) AS (defect, n)").select("defect", F.coalesce("n", F.lit(0)).alias("n"), F.try_divide("n", "rows").alias("rate"))
+    both = sums.crossJoin(F.broadcast(repeats)).selectExpr("rows", f"stack({len(DEFECTS)}, {stacked}) AS (defect, n)")
+    return both.select("defect", F.coalesce("n", F.lit(0)).alias("n"), F.try_divide("n", "rows").alias("rate"))
 
 
 def drop_defects(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Rows without a missing text, orphan positive or earlier row; missing and self negatives are repaired later."""
-    return flagged(rows, corpus).filter("NOT (null_query OR null_pos OR orphan_pos OR duplicate_query_id)").drop(*DEFECTS)
+    """The first row of each query_id, unless it has a missing text or an orphan positive; negatives are repaired later.
+
+    The filter stands right behind the rank, so each task keeps one row of a query_id before anything is shuffled.
+    """
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*loaded_first()))
+    first = rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return flagged(first, corpus).filter("NOT (null_query OR null_pos OR orphan_pos)").drop(*ROW_DEFECTS)
 
 
 def edges(rows: DataFrame, *keep: str) -> DataFrame:
