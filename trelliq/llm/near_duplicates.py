@@ -29,7 +29,8 @@ from trelliq.session import written
 
 HEAVY_SHARE = 0.002
 HEAVY_LEAST = 64
-THIN = 16
+#: Sets of at most so many features also sign by single features of their prefix.
+THIN = 32
 SKETCH_WORDS = 4
 
 
@@ -49,9 +50,9 @@ def most_different(threshold: float, both_sizes: float) -> float:
 def design(threshold: float, largest: int) -> tuple[int, int, int]:
     """(n1, n2, k2) for sets of at most ``largest`` features."""
     k = int(most_different(threshold, 2 * largest) + 1e-9)
-    if threshold >= 0.7:
-        return max(2, k // 2 + 1) * (2 if largest <= 2 * THIN else 1), 3, 1
-    return (k + 1) * (2 if largest <= 2 * THIN else 1), 1, 0
+    if threshold < 0.7:
+        return (k + 1) * (2 if largest <= THIN else 1), 1, 0
+    return (4 * (k + 1), 1, 0) if largest <= THIN else (k // 2 + 1, 3, 1)
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
