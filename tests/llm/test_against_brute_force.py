@@ -246,6 +246,21 @@ def test_spans_of_string_ids_and_empty(spark):
     assert none.count() == 0 and shared_shares(df.limit(0), none, "id", "text").count() == 0
 
 
+def test_very_long_texts(spark):
+    """One character, a short period, and long texts that share most of what they have."""
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    docs = [(1, "a" * 40_000), (2, "b" + "a" * 39_000), (3, "ab" * 20_000), (4, "-" + "ab" * 100 + "-"), (5, long), (6, "x" + long[:30_000] + "y" + long[30_000:]), (7, long[100:120])]
+    df = spark.createDataFrame(docs, "id bigint, text string").repartition(3)
+    assert once(shared_spans(df, "id", "text", 100), "id", "start_at", "end_at") == brute.shared_runs(docs, 100)
+    texts = [(str(i), t) for i, t in docs]
+    named = spark.createDataFrame(texts, "id string, text string")
+    assert once(expanded_pairs(*near_duplicates(named, "id", "text", 3, 0.8)), "id_a", "id_b") == brute.similar_pairs(texts, 3, 0.8) == {("5", "6")}
+    splits = spark.createDataFrame([(i, "test" if i == "6" else "train") for i, _ in texts], "query_id string, split string")
+    records = named.selectExpr("id AS query_id", "text AS query", "CAST(NULL AS STRING) AS pos_id")
+    assert once(cross_split_overlaps(records, splits, 3, 0.8), "eval_id", "train_id", "via") == {("6", "5", "query")}
+
+
 def test_merged_runs(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 2, 3), (1, 11, 12), (2, 4, 6)], "id int, start_at bigint, end_at bigint")
     assert once(merged_runs(df), "id", "start_at", "end_at") == {(1, 0, 9), (1, 11, 12), (2, 4, 6)}

@@ -22,7 +22,7 @@ def official():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "\n\n  \t x", "<|endoftext|> a<|endoftext|>", "I'll we've 'S 's", "naïve ﬁ ½ ² 𝛼 𝟗", "漢字かな" * 40, "👩🏽‍⚕️‍", "\u0000\u0007\u001b", "﻿a‮b", "a" * 3000, "ab" * 999,
+ODD = ["", " ", "\n\n  \t x", "<|endoftext|> a<|endoftext|>", "I'll we've 'S 's", "naïve ﬁ ½ ² 𝛼 𝟗", "漢字かな" * 40, "👩🏽‍⚕️‍", "\u0000\u0007\u001b", "﻿a‮b", "a" * 100_000, "word " * 50_000, "ab" * 999,
        "=" * 300, " " * 257, "é" * 100, "é" * 50, "1234567890" * 20, "Zx-9_Q " * 30]
 
 

@@ -28,6 +28,8 @@ CHUNK = 1 << 20
 POSITION_BITS = 22
 #: Signatures with more distinct windows than this are compared as rows instead of in one task.
 MAX_GROUP = 4096
+#: Windows sent on at once; a text of one character has a window at each place.
+MOST_WINDOWS = 1 << 15
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -140,16 +142,16 @@ def scan(df: DataFrame, length: int, gram: int, bits: int, bitmap: np.ndarray |
         for batch in batches:
             for rows, offsets, texts in pieces(batch.column(1).to_pylist(), length):
                 sig, piece, begin, count, off = compact_windows(texts, length, gram)
-                kept = np.flatnonzero(has(shared.value, positions(sig, bits)))
-                if not len(kept):
-                    continue
-                sig, piece, begin, count, off = (x[kept] for x in (sig, piece, begin, count, off))
-                own = [texts[p][b : b + n + length - 1] for p, b, n in zip(piece.tolist(), begin.tolist(), count.tolist())]
-                region = np.array([hash_text(t) for t in own], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.array(rows)[piece])), pa.array(sig), pa.array(off.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(region), pa.array(begin + np.array(offsets)[piece]), pa.array(own, pa.string())],
-                    names=["id", "sig", "off", "n_starts", "region", "at", "text"],
-                )
+                all_kept = np.flatnonzero(has(shared.value, positions(sig, bits)))
+                for cut in range(0, len(all_kept), MOST_WINDOWS):
+                    kept = all_kept[cut : cut + MOST_WINDOWS]
+                    s, p, b, n, o = (x[kept] for x in (sig, piece, begin, count, off))
+                    own = [texts[i][j : j + k + length - 1] for i, j, k in zip(p.tolist(), b.tolist(), n.tolist())]
+                    region = np.array([hash_text(t) for t in own], np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(np.array(rows)[p])), pa.array(s), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(region), pa.array(b + np.array(offsets)[p]), pa.array(own, pa.string())],
+                        names=["id", "sig", "off", "n_starts", "region", "at", "text"],
+                    )
 
     if bitmap is None:
         return df.mapInArrow(fill, SEGMENTS)
