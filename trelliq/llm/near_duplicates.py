@@ -140,8 +140,6 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words_in_shingle:
 
     signed = classes.select("class_id", "features").mapInArrow(sign, "sig bigint, class_id string, n int, " + ", ".join(f"{s} bigint" for s in sketch))
     signed = written(signed, "signatures")
-    recurring = signed.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
-    signed = signed.join(recurring, "sig", "left_semi")
     a, b = signed.alias("a"), signed.alias("b")
     both = F.col("a.n") + F.col("b.n")
     apart = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketch), F.lit(0))
