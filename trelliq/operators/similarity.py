@@ -42,15 +42,26 @@ def distribution(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
     return basic.unionByName(at.select(names.alias("statistic"), F.col("percentile").alias("value"))).select("statistic", F.round("value", 6).alias("value"))
 
 
-def top_matches(queries: DataFrame, base: DataFrame, k: int, apart: bool = False, block: int = BLOCK) -> DataFrame:
+def embedded(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(vec_id, split, embedding) of (id, split), as ``top_matches`` reads it; ``vectors`` has (vec_id, embedding)."""
+    n = F.broadcast(vectors.agg(F.count("*").alias("__n")))
+    own = sized(vectors.select(F.col("vec_id").alias("__at"), "embedding"), 600)
+    placed = ids.crossJoin(n).withColumn("__at", vector_of(F.col("id"), F.col("__n")))
+    return placed.join(own, "__at").select(F.col("id").alias("vec_id"), "split", "embedding")
+
+
+def top_matches(queries: DataFrame, base: DataFrame, k: int, apart: bool = False, block: int = BLOCK, below: float | None = None, without: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity): the ``k`` rows of ``base`` nearest to each query, itself left out, ties by id.
 
-    Both have (vec_id, split, embedding); ``apart`` leaves out rows of the query's own split. Queries are sent to the
-    rows in blocks of a bounded size; each task keeps k rows a query, and these alone are shuffled.
+    Both have (vec_id, split, embedding); ``apart`` leaves out rows of the query's own split, ``below`` rows of that
+    similarity or more, ``without`` (query_id, id) these pairs instead of the query itself. All of them are left out
+    before rows are ranked, so they take no place among the ``k``. Queries are sent to the rows in blocks of a bounded
+    size; each task keeps k rows a query, and these alone are shuffled.
     """
     spark = base.sparkSession
     ship(spark)
     # The table is laid out by size, so the number of blocks follows the stated query set and not the base.
+    schema = f"query_id {queries.schema['vec_id'].dataType.simpleString()}, id {base.schema['vec_id'].dataType.simpleString()}, similarity double"
     count = queries.count()
     parts = -(-count // block) or 1
     out = None
@@ -59,28 +70,41 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, apart: bool = False
         pdf = own.select("vec_id", "split", "embedding").toPandas()
         if pdf.empty:
             continue
-        shared = spark.sparkContext.broadcast((pdf["vec_id"].to_numpy(), pdf["split"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(np.float64)))
+        ids = pdf["vec_id"].to_numpy()
+        rows = pd.DataFrame({"query_id": ids, "row": np.arange(len(ids))})
+        if without is None:
+            pairs = rows.assign(id=ids)
+        else:
+            pairs = rows.merge(without.join(own.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").select("query_id", "id").toPandas(), on="query_id")
+        hidden = pairs[["row", "id"]]
+        shared = spark.sparkContext.broadcast((ids, pdf["split"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(np.float64), hidden))
 
         def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, splits, matrix = shared.value
+            ids, splits, matrix, hidden = shared.value
             for pdf in batches:
                 if pdf.empty:
                     continue
                 own = pdf["vec_id"].to_numpy()
                 scores = np.round(matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 9)
-                hidden = ids[:, None] == own[None, :]
+                at = hidden.merge(pd.DataFrame({"id": own, "column": np.arange(len(own))}), on="id")
+                scores[at["row"].to_numpy(), at["column"].to_numpy()] = -np.inf
                 if apart:
-                    hidden |= splits[:, None] == pdf["split"].to_numpy()[None, :]
-                scores[hidden] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                keep = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "id": own[order][keep], "similarity": best[keep]})
-
-        found = base.select("vec_id", "split", "embedding").mapInPandas(nearest, "query_id bigint, id bigint, similarity double")
+                    scores[splits[:, None] == pdf["split"].to_numpy()[None, :]] = -np.inf
+                if below is not None:
+                    scores[scores >= below] = -np.inf
+                # Only rows that reach a query's k-th score are sorted, ties by id.
+                least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+                row, column = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                order = np.lexsort((own[column], -scores[row, column], row))
+                row, column = row[order], column[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, column = row[nth < k], column[nth < k]
+                yield pd.DataFrame({"query_id": ids[row], "id": own[column], "similarity": scores[row, column]})
+
+        found = base.select("vec_id", "split", "embedding").mapInPandas(nearest, schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "query_id bigint, id bigint, similarity double")
+        return spark.createDataFrame([], schema)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return out.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
 

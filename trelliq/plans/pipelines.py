@@ -14,9 +14,10 @@ from trelliq.session import written
 from trelliq.sources import writers
 
 
-def with_lists(queries: DataFrame, listed: DataFrame, order: str) -> DataFrame:
-    lists = listed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "neg_id"))), lambda x: x["neg_id"]).alias("neg_ids"))
-    return queries.join(lists, "query_id")
+def with_lists(queries: DataFrame, listed: DataFrame, order: str, how: str = "inner", name: str = "neg_ids") -> DataFrame:
+    """``queries`` with their negatives in order; with ``how`` 'left' those without any keep an empty list."""
+    lists = listed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "neg_id"))), lambda x: x["neg_id"]).alias(name))
+    return queries.join(lists, "query_id", how).withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
 def run_components(spark: SparkSession, corpus: DataFrame, merged: DataFrame, vectors: DataFrame, out: str, settings: Settings = COMPONENTS) -> DataFrame:
@@ -51,8 +52,28 @@ def run_components(spark: SparkSession, corpus: DataFrame, merged: DataFrame, ve
     return finish(final, book, out, settings, graph.component_stats(labels))
 
 
+def top_up(train: DataFrame, have: DataFrame, inside: DataFrame, vectors: DataFrame, budget: int, cap: float) -> DataFrame:
+    """(query_id, neg_id, rank): passages of ``inside`` (id, split) below ``cap`` for the queries of ``train`` (query_id,
+    pos_id, split) with fewer than ``budget`` negatives in ``have`` (query_id, neg_id), the most similar first.
+
+    A query's positive and its own negatives are no candidates, so it ends short only where such passages run out.
+    """
+    counts = have.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = written(train.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < budget), "short")
+    kept = have.select("query_id", F.col("neg_id").alias("id")).join(short.select("query_id"), "query_id", "left_semi")
+    taken = written(kept.unionByName(short.select("query_id", F.col("pos_id").alias("id"))).distinct(), "taken")
+    asked = written(similarity.embedded(short.select(F.col("query_id").alias("id"), "split"), vectors), "asked")
+    near = similarity.top_matches(asked, written(similarity.embedded(inside, vectors), "inside"), budget, below=cap, without=taken)
+    return negatives.mined(kept, near, budget, cap).select("query_id", F.col("id").alias("neg_id"), "rank")
+
+
 def run_partitions(spark: SparkSession, corpus: DataFrame, merged: DataFrame, vectors: DataFrame, out: str, settings: Settings = PARTITIONS) -> DataFrame:
-    """Anaphora by vocabulary, content, fixed screening, random partitions with inherited splits, own-partition negatives."""
+    """Anaphora by vocabulary, content, fixed screening, random partitions with inherited splits, and training
+    negatives of the training partition, mined up to the budget below the false-negative threshold.
+
+    Validation and test queries all stay, with their own lists; ``neg_ids`` has up to ``budget`` of a list, the hardest,
+    and ``neg_ids_uncapped`` the whole of it.
+    """
     f, s = settings.filters, settings.splits
     shares = dict(zip(("train", "val", "test"), s.shares))
     kept = written(integrity.drop_defects(merged, corpus).select("query_id", "query", "pos_id", "pos", "neg_id", "loaded_at"), "kept")
@@ -63,13 +84,20 @@ def run_partitions(spark: SparkSession, corpus: DataFrame, merged: DataFrame, ve
     assigned = splits.checked(splits.inherited(named, partition))
     assigned = written(assigned.join(dedup.straddlers(assigned).select("query_id"), "query_id", "left_anti"), "assigned")
     listed = integrity.clean_edges(assigned, corpus).join(assigned.select("query_id", "split"), "query_id")
-    own = listed.join(partition.select(F.col("id").alias("neg_id"), F.col("split").alias("split")), ["neg_id", "split"], "left_semi")
-    scored = similarity.pair_similarity(own, vectors, "query_id", "neg_id").filter(F.col("similarity") < F.lit(f.false_negative_threshold))
+    inside = partition.filter("split = 'train'").select("id", "split")
+    screened = written(similarity.pair_similarity(listed, vectors, "query_id", "neg_id").filter(F.col("similarity") < F.lit(f.false_negative_threshold)), "screened")
+    # Only training must not see other partitions; evaluation rows keep their own lists.
+    own = screened.filter("split <> 'train'").unionByName(screened.filter("split = 'train'").join(inside.select(F.col("id").alias("neg_id")), "neg_id", "left_semi"))
     best = F.row_number().over(similarity.Window.partitionBy("query_id").orderBy(F.desc("similarity"), "place"))
-    hardest = written(scored.withColumn("rank", best).filter(F.col("rank") <= s.budget), "hardest")
-    final = written(with_lists(assigned.select("query_id", "query", "split", "pos_id"), hardest, "rank").withColumn("alt_pos_ids", F.array("pos_id")), "final")
+    ranked = written(own.withColumn("rank", best), "ranked")
+    hardest = ranked.filter(F.col("rank") <= s.budget).select("query_id", "neg_id", "rank")
+    train = assigned.filter("split = 'train'").select("query_id", "pos_id", "split")
+    more = written(top_up(train, hardest, inside, vectors, s.budget, min(s.mining_cap, f.false_negative_threshold)), "mined")
+    chosen = written(hardest.unionByName(more.withColumn("rank", F.col("rank") + s.budget)), "chosen")
+    rows = with_lists(assigned.select("query_id", "query", "split", "pos_id"), chosen, "rank", "left").withColumn("alt_pos_ids", F.array("pos_id"))
+    final = written(with_lists(rows, ranked, "place", "left", "neg_ids_uncapped"), "final")
     steps = [("00_raw", merged, integrity.edges(merged)), ("01_structural", kept, integrity.clean_edges(kept, corpus)), ("02_named", named, integrity.clean_edges(named, corpus)),
-             ("03_assigned", assigned, listed), ("04_hardest", final, hardest)]
+             ("03_assigned", assigned, listed), ("04_false_negative", assigned, screened), ("05_own_partition", assigned, ranked), ("06_hardest", assigned, hardest), ("07_mined", final, chosen)]
     book = ledger.ledger(spark, [(stage, unit, df) for stage, q, e in steps for unit, df in (("queries", q), ("pairs", e))])
     audit = splits.enforce(splits.leakage_audit(final.withColumnRenamed("neg_ids", "neg_id"), partition))
     return finish(final, book, out, settings, audit)
