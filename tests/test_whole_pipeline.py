@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from trelliq.plans import pipelines
+from trelliq.sources import readers
 from trelliq.sources.tables import table
 
 MERGED = "query_id string, query string, pos_id string, pos string, neg_id array<string>, loaded_at timestamp_ntz"
@@ -43,3 +45,17 @@ def test_long_evaluation_lists_stay_whole(spark, tmp_path):
     rows = pipelines.run_partitions(spark, *tables, str(tmp_path / "run")).collect()
     assert all(len(r["neg_ids"]) == 8 for r in rows if r["split"] == "train")
     assert any(len(r["neg_ids_uncapped"]) > 8 for r in rows if r["split"] != "train") and all(set(r["neg_ids"]) <= set(r["neg_ids_uncapped"]) for r in rows if r["split"] != "train")
+
+
+def test_a_given_vocabulary_saves_its_queries(spark, tmp_path):
+    (tmp_path / "v.bin").write_bytes(b"*NEWRECORD\nMH = Quorbitis\nMN = C01.1\n")
+    corpus = spark.createDataFrame([(f"p{i}", f"text {i}") for i in range(20)], "id string, text string")
+    ask = "How did the patient with quorbitis fare"
+    rows = [(f"q{i}", f"{ask} in week {i}?", f"p{i}", "passage text of more than eight words in all of it", [f"p{(i + 1) % 20}"], None) for i in range(20)]
+    vectors = spark.createDataFrame([(i, [float(i == j) for j in range(199)]) for i in range(199)], "vec_id bigint, embedding array<float>")
+    run = lambda name, **more: pipelines.run_partitions(spark, corpus, spark.createDataFrame(rows, MERGED), vectors, str(tmp_path / name), **more).count()
+    assert run("given", terms=readers.vocabulary_file(spark, str(tmp_path / "v.bin"))) == 20
+    assert json.loads((tmp_path / "given" / "report.json").read_text())["vocabulary"] == "given"
+    with pytest.warns(UserWarning, match="vocabulary"):
+        assert run("none") == 0
+    assert json.loads((tmp_path / "none" / "report.json").read_text())["vocabulary"] == "example records"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,17 +69,21 @@ def top_up(train: DataFrame, have: DataFrame, inside: DataFrame, vectors: DataFr
     return negatives.mined(kept, near, budget, cap).select("query_id", F.col("id").alias("neg_id"), "rank")
 
 
-def run_partitions(spark: SparkSession, corpus: DataFrame, merged: DataFrame, vectors: DataFrame, out: str, settings: Settings = PARTITIONS) -> DataFrame:
+def run_partitions(spark: SparkSession, corpus: DataFrame, merged: DataFrame, vectors: DataFrame, out: str, settings: Settings = PARTITIONS, terms: DataFrame | None = None) -> DataFrame:
     """Anaphora by vocabulary, content, fixed screening, random partitions with inherited splits, and training
     negatives of the training partition, mined up to the budget below the false-negative threshold.
 
     Validation and test queries all stay, with their own lists; ``neg_ids`` has up to ``budget`` of a list, the hardest,
-    and ``neg_ids_uncapped`` the whole of it.
+    and ``neg_ids_uncapped`` the whole of it. ``terms`` is the vocabulary (``readers.vocabulary_file``), which any real
+    corpus needs: without it the example records of the tests stand in, with a warning and a note in the report, and
+    queries that name anything else count as anaphoric.
     """
+    if terms is None:
+        warnings.warn("run_partitions without a vocabulary: the example records stand in", stacklevel=2)
     f, s = settings.filters, settings.splits
     shares = dict(zip(("train", "val", "test"), s.shares))
     kept = written(integrity.drop_defects(merged, corpus).select("query_id", "query", "pos_id", "pos", "neg_id", "loaded_at"), "kept")
-    counts = found_terms(kept, vocabulary(parsed(spark))).groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    counts = found_terms(kept, vocabulary(parsed(spark)) if terms is None else terms).groupBy("query_id").agg(F.count("*").alias("n_terms"))
     flags = filters.anaphoric_by_vocabulary(kept, counts)
     named = written(filters.with_content(kept.join(flags.filter("NOT is_anaphoric").select("query_id"), "query_id", "left_semi"), f.least_words), "named")
     partition = written(splits.partitioned(corpus, shares, settings.seed), "partition")
@@ -100,14 +106,14 @@ def run_partitions(spark: SparkSession, corpus: DataFrame, merged: DataFrame, ve
              ("03_assigned", assigned, listed), ("04_false_negative", assigned, screened), ("05_own_partition", assigned, ranked), ("06_hardest", assigned, hardest), ("07_mined", final, chosen)]
     book = ledger.ledger(spark, [(stage, unit, df) for stage, q, e in steps for unit, df in (("queries", q), ("pairs", e))])
     audit = splits.enforce(splits.leakage_audit(final.withColumnRenamed("neg_ids", "neg_id"), partition))
-    return finish(final, book, out, settings, audit)
+    return finish(final, book, out, settings, audit, {"vocabulary": "example records" if terms is None else "given"})
 
 
-def finish(final: DataFrame, book: DataFrame, out: str, settings: Settings, extra: DataFrame) -> DataFrame:
+def finish(final: DataFrame, book: DataFrame, out: str, settings: Settings, extra: DataFrame, notes: dict | None = None) -> DataFrame:
     """Write the splits as JSON lines, the ledger as CSV, a report and a manifest; the final rows come back."""
     for split in ("train", "val", "test"):
         writers.jsonl(final.filter(F.col("split") == split), f"{out}/{split}")
     writers.csv(book.orderBy("seq"), f"{out}/ledger")
-    writers.report({"run": run_name(settings), "settings": settings, "splits": final.groupBy("split").count(), "extra": extra}, f"{out}/report.json")
+    writers.report({"run": run_name(settings), "settings": settings, "splits": final.groupBy("split").count(), "extra": extra} | (notes or {}), f"{out}/report.json")
     writers.manifest(f"{out}/manifest.json", settings.name, settings.seed, settings, [], [f"{out}/{p}" for p in ("train", "val", "test", "ledger", "report.json")])
     return final
