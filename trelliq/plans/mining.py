@@ -137,10 +137,15 @@ def hardest(spark, folder) -> DataFrame:
 
 
 def mine_negatives(spark, folder):
-    """Top-up for the stated query set: nearest rows below the cap that are not among the two nearest, until five."""
-    near = similarity.top_matches(asked(spark, folder), vectors(spark, folder), 20)
-    have = metrics.ranked(near.withColumnRenamed("similarity", "score"), 2).select("query_id", "id")
-    return negatives.mined(have, near, 5, MINING_CAP).withColumn("similarity", F.round("similarity", 6))
+    """Top-up for the stated query set: nearest rows below the cap that are not among the two nearest,
+    until five; exact whatever the number of rows above the cap."""
+    queries, base = asked(spark, folder), vectors(spark, folder)
+    near = similarity.top_matches(queries, base, 2)
+    have = written(metrics.ranked(near.withColumnRenamed("similarity", "score"), 2).select("query_id", "id"), "have")
+    # The cap and the exclusions hold before rows are ranked, so a large group of near copies takes no candidate's place.
+    taken = have.unionByName(queries.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("id")))
+    free = similarity.top_matches(queries, base, 3, below=MINING_CAP, without=taken)
+    return negatives.mined(have, free, 5, MINING_CAP).withColumn("similarity", F.round("similarity", 6))
 
 
 def sanitize_negatives(spark, folder):
