@@ -8,8 +8,8 @@ cut into ``n1`` partitions by hash, each into ``n2`` parts, and a signature is w
 
 Features of more than ``heavy_share`` of all records are left out of the domain, which only lowers the distance. Empty
 projections would join everything, so they are not signatures; what they might have joined is covered by more partitions
-than ``k`` asks for, by single features of the prefix of thin sets, and by the heavy features of a prefix. Signature
-rows carry a parity sketch, whose distance never exceeds the true one, so most false candidates fall in the join itself.
+than ``k`` asks for, by single features of the prefix of thin sets and of sets that may share little but heavy features
+with a partner, and by the heavy features of a prefix. Signature rows carry a parity sketch, whose distance never exceeds the true one, so most false candidates fall in the join itself.
 Pairs are verified on the whole sets. Equal sets are one class before anything is joined.
 """
 
@@ -29,7 +29,8 @@ from trelliq.session import written
 
 HEAVY_SHARE = 0.002
 HEAVY_LEAST = 64
-#: Sets of at most so many features also sign by single features of their prefix.
+#: Sets of at most so many features, and sets with heavy features that may share as few light ones with a partner, also
+#: sign by single features of their prefix.
 THIN = 32
 SKETCH_WORDS = 4
 
@@ -67,7 +68,12 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, threshold
     order = np.lexsort((mixed, is_heavy, own))
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-    single = order[(place < prefix[own]) & ((sizes[own] <= THIN) | is_heavy[order])]
+    # A partner shares ceil(threshold * size) features or more, so at least ``light`` light ones. Where a pair shares THIN
+    # light ones or fewer, and a heavy one, both sides sign by their whole prefix: such a pair is certain.
+    n_heavy = np.bincount(own, weights=is_heavy, minlength=len(sizes)).astype(np.int64)
+    light = sizes - prefix + 1 - n_heavy
+    whole = (sizes <= THIN) | ((n_heavy > 0) & (light <= THIN))
+    single = order[(place < prefix[own]) & (whole[own] | is_heavy[order])]
     rows.append(own[single])
     sigs.append(spread(mixed[single] + np.uint64(1)))
 
