@@ -123,6 +123,7 @@ def cross_split_neighbors(spark, folder):
 
 
 def near_dup_stats(spark, folder):
+    """Distribution over the stated query set (``asked``) and the best match of each of its rows, not over the table."""
     return similarity.distribution(cross_split_neighbors(spark, folder), "similarity", NEAR_SHARES)
 
 
@@ -212,7 +213,9 @@ def leakage_asserts(spark, folder):
 
 
 def residual_near_dups(spark, folder):
-    """Near pairs across splits whose ends both survive: neither end is in the lowest split that the pair touches."""
+    """Near pairs across splits whose ends both survive: neither end is in the lowest split that the pair touches.
+
+    Counts cover the stated query set (``asked``) and the best match of each of its rows, as in the SQL, not the table."""
     v = vectors(spark, folder).select("vec_id", "split")
     pairs = cross_split_neighbors(spark, folder).filter("similarity >= 0.2")
     rank = "CASE split WHEN 'test' THEN 2 WHEN 'val' THEN 1 ELSE 0 END"
