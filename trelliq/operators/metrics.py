@@ -56,7 +56,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int, k1: float = 1.2, b: fl
     return ranked(scored, k)
 
 
-def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str, resamples: int = 10000, seed: int = 42) -> DataFrame:
     """(mean_difference, low, high, p): 95 % interval of the mean difference over resampled queries.
 
     Each query's weight in a resample is a Poisson(1) draw from a hash of (seed, resample, query), so resampling is one
