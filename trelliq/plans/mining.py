@@ -156,7 +156,9 @@ def sanitize_negatives(spark, folder):
 
 
 def mining_stats(spark, folder):
-    """Counters over the edges of training queries: kept, out of partition, queries short of the budget, mean kept."""
+    """Counters over the edges of training queries: kept, out of partition, queries short of the budget, mean kept.
+
+    Queries without an edge have no row, as in the SQL, and nothing is mined here."""
     part = written(partition(spark, folder), "partition")
     rows = splits.inherited(cleaned(spark, folder), part).filter("split = 'train'")
     home = part.select(F.col("id").alias("neg_id"), (F.col("split") == "train").alias("inside"))
