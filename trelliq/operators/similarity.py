@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trelliq.functions.vectors import dot
 from trelliq.operators.skew import key_percentiles
-from trelliq.session import ship, sized
+from trelliq.session import ship
 
 #: Queries of a search are compared with all rows in blocks of at most so many.
 BLOCK = 4096
@@ -25,7 +25,7 @@ def vector_of(id_col: Column, n: int | Column) -> Column:
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with ``similarity``, the inner product of the vectors of two ids; ``vectors`` has (vec_id, embedding)."""
     n = F.broadcast(vectors.agg(F.count("*").alias("__n")))
-    table = sized(vectors.select("vec_id", "embedding"), 600)
+    table = vectors.select("vec_id", "embedding")
     left, right = (table.select(F.col("vec_id").alias(f"__{s}"), F.col("embedding").alias(f"__v{s}")) for s in "ab")
     placed = pairs.crossJoin(n).withColumn("__a", vector_of(F.col(a), F.col("__n"))).withColumn("__b", vector_of(F.col(b), F.col("__n")))
     scored = placed.join(left, "__a").join(right, "__b").withColumn("similarity", dot(F.col("__va"), F.col("__vb")))
@@ -45,7 +45,7 @@ def distribution(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
 def embedded(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     """(vec_id, split, embedding) of (id, split), as ``top_matches`` reads it; ``vectors`` has (vec_id, embedding)."""
     n = F.broadcast(vectors.agg(F.count("*").alias("__n")))
-    own = sized(vectors.select(F.col("vec_id").alias("__at"), "embedding"), 600)
+    own = vectors.select(F.col("vec_id").alias("__at"), "embedding")
     placed = ids.crossJoin(n).withColumn("__at", vector_of(F.col("id"), F.col("__n")))
     return placed.join(own, "__at").select(F.col("id").alias("vec_id"), "split", "embedding")
 

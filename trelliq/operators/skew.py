@@ -2,7 +2,7 @@
 
 Method: value-frequency compression. Rows are grouped by key *and* value first, which spreads a hot key over all tasks
 and leaves one weighted row for each distinct value; counts, distinct counts, modes and percentiles then come from the
-weighted values. Percentiles go through value buckets, so that no task orders all values of a hot key.
+weighted values. Percentiles go through ranges of equally many values, so that no task orders all values of a hot key.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VALUE_BUCKETS = 1024
+#: Values are cut into the square of so many ranges.
+COARSE = 32
 
 
 def weighted_values(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -22,13 +23,12 @@ def key_figures(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n_rows, n_values, mode, mode_rows) of every non-null key.
 
     n_values counts distinct non-null values; mode is the most frequent non-null value, the smallest on a tie, null for
-    a key without values. Extra columns are ignored, whatever their names; an empty table gives an empty frame.
+    a key without values. All of it comes from one aggregation of the weighted values, combined before it is shuffled, so
+    a hot key sends one row a task. Extra columns are ignored, whatever their names; an empty table gives an empty frame.
     """
-    w = weighted_values(rows, key, value)
-    top = w.filter("value IS NOT NULL").groupBy("key").agg(F.count("*").alias("n_values"), F.max("weight").alias("mode_rows"))
-    mode = w.filter("value IS NOT NULL").join(top.select("key", F.col("mode_rows").alias("weight")), ["key", "weight"]).groupBy("key").agg(F.min("value").alias("mode"))
-    figures = w.groupBy("key").agg(F.sum("weight").alias("n_rows")).join(top, "key", "left").join(mode, "key", "left")
-    return figures.select("key", "n_rows", F.coalesce("n_values", F.lit(0)).alias("n_values"), "mode", F.coalesce("mode_rows", F.lit(0)).alias("mode_rows"))
+    top = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("weight")).alias("w"), F.col("value").alias("v"))))
+    figures = weighted_values(rows, key, value).groupBy("key").agg(F.sum("weight").alias("n_rows"), F.count("value").alias("n_values"), top.alias("top"))
+    return figures.select("key", "n_rows", "n_values", F.col("top.v").alias("mode"), F.coalesce(-F.col("top.w"), F.lit(0)).alias("mode_rows"))
 
 
 def heavy_keys(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
@@ -38,17 +38,32 @@ def heavy_keys(rows: DataFrame, key: str, value: str, share: float) -> DataFrame
     return counts.crossJoin(F.broadcast(whole)).filter(F.col("n_rows") >= F.lit(share) * F.col("__all")).select("key", "n_rows")
 
 
-def key_percentiles(rows: DataFrame, key: str, value: str, shares: list[float], buckets: int = VALUE_BUCKETS) -> DataFrame:
+def value_ranges(w: DataFrame, value: str, coarse: int = COARSE) -> DataFrame:
+    """``w`` with ``bucket``, a number that never falls as the value grows: its place among ``coarse`` squared quantiles.
+
+    The edges come from a sketch of all weighted values, so a bucket holds about as many of them as any other however
+    the values lie (an outlier stretches no range); only the balance of tasks depends on them, no result does. They are
+    found in two steps of ``coarse`` comparisons.
+    """
+    n = coarse * coarse
+    edges = w.agg(F.percentile_approx(value, F.array(*(F.lit(i / n) for i in range(n))), 20 * n).alias("__edges"))
+    firsts = F.array(*(F.get("__edges", F.lit(i * coarse)) for i in range(coarse)))
+    edges = F.broadcast(edges.select("__edges", firsts.alias("__firsts")))  # one row of about n numbers
+    at = F.greatest(F.size(F.filter("__firsts", lambda e: e <= F.col(value))) - 1, F.lit(0))
+    placed = w.crossJoin(edges).withColumn("__at", at)
+    inside = F.size(F.filter(F.slice("__edges", F.col("__at") * coarse + 1, F.lit(coarse)), lambda e: e <= F.col(value)))
+    return placed.withColumn("bucket", F.col("__at") * coarse + inside).drop("__edges", "__firsts", "__at")
+
+
+def key_percentiles(rows: DataFrame, key: str, value: str, shares: list[float], coarse: int = COARSE) -> DataFrame:
     """(key, share, percentile): exact percentiles with linear interpolation of the non-null numbers of each key.
 
-    The two neighbours of each wanted rank are looked up: counts of at most ``buckets`` value ranges tell the range of a
-    rank, and only within that range are weighted values put in order. Keys without numbers are left out.
+    The two neighbours of each wanted rank are looked up: counts of the value ranges of ``value_ranges`` tell the range of
+    a rank, and only within that range are weighted values put in order. Keys without numbers are left out; extra
+    columns are ignored, whatever their names; an empty table gives an empty frame.
     """
     w = weighted_values(rows, key, value).filter("value IS NOT NULL").withColumn("value", F.col("value").cast("double"))
-    ends = w.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(buckets)
-    bucket = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("__lo"), width)), F.lit(buckets - 1)), F.lit(0))
-    w = w.crossJoin(F.broadcast(ends)).select("key", "value", "weight", bucket.alias("bucket"))
+    w = value_ranges(w, "value", coarse)
     below = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = w.groupBy("key", "bucket").agg(F.sum("weight").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(below), F.lit(0)))
     wanted = ranges.groupBy("key").agg(F.sum("n").alias("all")).select("key", "all", F.explode(F.array(*map(F.lit, shares))).alias("share"))

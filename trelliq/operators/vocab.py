@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trelliq.session import sized
 
 MOST_WORDS = 5
 LEAST_LENGTH = 3
@@ -102,7 +101,7 @@ def found_terms(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(MOST_WORDS))))
     grams = tokens.filter("size(w) > 0").select("query_id", "w", sizes.alias("n"))
     grams = grams.select("query_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("at", "term"))
-    words = sized(vocab.select("term", F.when(F.col("n_words") == 1, 1).otherwise(0).alias("single")), 64)
+    words = vocab.select("term", F.when(F.col("n_words") == 1, 1).otherwise(0).alias("single"))
     phrases = grams.join(words, "term").filter((F.col("n") > 1) | (F.col("single") == 1)).select("query_id", (F.lit(10) - F.col("n")).alias("kind"), "at", "term")
     first = names.unionByName(phrases).groupBy("query_id", F.lower("term").alias("low")).agg(F.min(F.struct("kind", "at", "term")).alias("first"))
     return first.select("query_id", F.col("first.term").alias("term"), (F.col("first.kind") * 100000 + F.col("first.at")).alias("place"))
@@ -111,6 +110,6 @@ def found_terms(queries: DataFrame, vocab: DataFrame) -> DataFrame:
 def topic_coverage(terms: DataFrame, vocab: DataFrame, top: int = 18) -> DataFrame:
     """(code, label, n): most frequent disease branches of (id, term) rows, each branch once an id; ``top`` is the report's length."""
     codes = vocab.select(F.col("term").alias("low"), F.explode("tree_numbers").alias("number")).filter(F.col("number").startswith("C") & (F.length("number") >= 3))
-    hits = terms.withColumn("low", F.lower("term")).join(sized(codes, 64), "low").select("query_id", F.substring("number", 1, 3).alias("code")).distinct()
+    hits = terms.withColumn("low", F.lower("term")).join(codes, "low").select("query_id", F.substring("number", 1, 3).alias("code")).distinct()
     labels = F.coalesce(*(F.when(F.col("code") == c, F.lit(name)) for c, name in BRANCHES.items()), F.col("code"))
     return hits.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(top).select("code", labels.alias("label"), "n")

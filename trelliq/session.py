@@ -1,4 +1,8 @@
-"""Session settings, and the two ways an operator may cut lineage or size a broadcast."""
+"""Session settings, and tables in the shared folder that cut lineage.
+
+Which side of a join is broadcast is left to Spark: it measures a side (from its files, or its shuffle once that is
+written) and shuffles it beyond the session's threshold. Operators ask for a broadcast of one-row aggregates only.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +13,8 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side of at most so many rows (times its row width, see ``sized``) may be broadcast.
-BROADCAST_MB = 32
 
 
 def build_session(master: str = "local[8]", app: str = "trelliq", **conf: str) -> SparkSession:
@@ -47,30 +46,80 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, from the session's ``spark.checkpoint.dir``.
+
+    Only a session in one process (``local``), such as that of a test, gets a temporary one where none is named; on a
+    cluster each executor would write to a disk of its own, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="trelliq-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return checkpoint_dir(spark)
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: later stages survive a lost executor."""
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any scheme that the session's Hadoop settings know."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever storage it lies; nothing happens where there is none."""
+    files, where = hadoop_path(spark, path)
+    files.delete(where, True)
+
+
+#: Tables of ``written`` that are still there, deleted when the process ends.
+_tables: dict[str, SparkSession] = {}
+
+
+def forget_tables() -> None:
+    for path, spark in list(_tables.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # the JVM may be gone already; the session's folder is then cleared by its owner
+            pass
+    _tables.clear()
+
+
+atexit.register(forget_tables)
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the process ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
+def written(df: DataFrame, name: str = "cut", by: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: later stages survive a lost executor.
+
+    With ``by`` the table is cut into buckets by the hash of that column and sorted by it, so that joins and groupings by
+    the column read it without a shuffle.
+    """
     spark = df.sparkSession
     ship(spark)
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where = urlparse(path)
-    if where.scheme in ("", "file") and os.path.isdir(where.path):
-        atexit.register(shutil.rmtree, where.path, ignore_errors=True)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._trelliq_table = path
+    path = new_place(spark, name)
+    if by is None:
+        df.write.option("compression", "zstd").parquet(path)
+        back = spark.read.schema(df.schema).parquet(path)
+        back._trelliq_table = path
+        return back
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = f"trelliq_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by).sortBy(by).saveAsTable(named)
+    back = spark.table(named)
+    back._trelliq_table, back._trelliq_name = path, named
     return back
 
 
@@ -78,19 +127,11 @@ def discard(df: DataFrame) -> None:
     """Delete the table of ``written``; for one that a loop has replaced and no later result reads."""
     path = getattr(df, "_trelliq_table", None)
     if path:
-        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def sized(df: DataFrame, row_bytes: int, limit_mb: int = BROADCAST_MB) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows stay below the limit, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit_mb << 20 else df
+        if name := getattr(df, "_trelliq_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(df.sparkSession, path)
+        _tables.pop(path, None)
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` lacks, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    name = f"__{stem}"
-    while name.lower() in taken:
-        name += "_"
-    return name
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    return df
