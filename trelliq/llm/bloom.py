@@ -1,15 +1,22 @@
-"""Bloom filter of the hashes seen more than once, built per partition and merged by segment.
+"""Bloom filter of the hashes seen more than once, built per partition, merged by hash range, read from shared files.
 
-Each partition fills two bitmaps over its own rows: bits of hashes seen (once) and of hashes met again (twice).
+Each partition has two filters over its own rows: one of the hashes seen (once) and one of those met again (twice).
 Merging is associative: ``twice = t1 | t2 | (o1 & o2)``, ``once = o1 | o2``. A hash met in two places therefore has
-all its bits in ``twice``: the filter has false positives but no false negatives. Its size is a power of two between
-2^16 and ``max_bits``, so what is broadcast never exceeds ``max_bits / 8`` bytes; beyond that it only lets more rows
-through, and the exact step after it stays right.
+all its bits in ``twice``: the filter has false positives but no false negatives.
+
+The filter has BITS_PER_HASH bits for each hash, however many there are: hashes fall into ranges of at most RANGE_BITS
+bits, a partition's part of a range travels as the hashes that set its bits (8 bytes each, fewer than the addresses of the
+bits), one task merges one range at a time, and the merged ranges are files in the shared folder. Tasks map a range's file
+into memory when they first probe it, so neither the driver nor a worker's heap ever holds the filter. Where the shared
+folder cannot be mapped (an object store), a worker reads ranges as it needs them and keeps the last KEEP.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,26 +24,55 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trelliq.session import ship
+from trelliq.session import new_place, ship
 
-BITS_PER_HASH = 16
-MAX_BITS = 1 << 28
-SEGMENT_BITS = 1 << 16
+BITS_PER_HASH = 12
 PROBES = 3
+#: A merging task holds two bitmaps of this size.
+RANGE_BITS = 1 << 28
+#: Hashes that a partition collects before it sends them on; a hash met in two such lots counts as met again.
+LOT = 1 << 22
+#: Ranges that a worker keeps where files cannot be mapped.
+KEEP = 4
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Number of ranges, and of bits in each."""
+
+    ranges: int
+    bits: int
+
+    @staticmethod
+    def of(n_hashes: int, range_bits: int = RANGE_BITS) -> Layout:
+        """Room for so many hashes."""
+        wanted = max(1 << 16, BITS_PER_HASH * n_hashes)
+        ranges = -(-wanted // range_bits)
+        return Layout(ranges, min(range_bits, -(-wanted // ranges // 64) * 64 + 64))
+
 
+def scattered(h: np.ndarray) -> np.ndarray:
+    x = h.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def filter_bits(n_hashes: int, max_bits: int = MAX_BITS) -> int:
-    """Size of the filter for so many hashes."""
-    return min(max_bits, 1 << max(16, (BITS_PER_HASH * max(n_hashes, 1) - 1).bit_length()))
 
+def fraction(x: np.ndarray, n: int) -> np.ndarray:
+    """The upper half of each 64-bit number, scaled to 0 .. n - 1."""
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
-def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions of each hash, as rows of a matrix."""
-    x = h.astype(np.uint64)
-    out = np.empty((PROBES, len(x)), dtype=np.int64)
+
+def range_of(h: np.ndarray, layout: Layout) -> np.ndarray:
+    return fraction(scattered(h), layout.ranges)
+
+
+def positions(h: np.ndarray, layout: Layout) -> np.ndarray:
+    """PROBES bit positions of each hash within its range, as rows of a matrix."""
+    x, out = scattered(h), np.empty((PROBES, len(h)), dtype=np.int64)
     for k in range(PROBES):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-        out[k] = (x >> np.uint64(20)).astype(np.int64) & (bits - 1)
+        out[k] = fraction(x, layout.bits)
     return out
 
 
@@ -49,84 +85,154 @@ def put(bitmap: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, at.ravel() >> 3, np.left_shift(1, at.ravel() & 7).astype(np.uint8))
 
 
-class SeenTwice:
-    """The two bitmaps of one partition."""
+class Seen:
+    """The filters of one partition, lot by lot, as rows of PARTS."""
+
+    def __init__(self, layout: Layout, lot: int = LOT):
+        self.layout, self.lot, self.held, self.size = layout, lot, [], 0
+
+    def add(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(h.astype(np.int64))
+        self.size += len(h)
+        if self.size >= self.lot:
+            yield from self.rest()
 
-    def __init__(self, bits: int):
-        self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        h, n = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        r = range_of(h, self.layout)
+        order = np.argsort(r, kind="stable")
+        h, again, r = h[order], (n > 1)[order], r[order]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        ends = [*first[1:].tolist(), len(h)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(r[first].astype(np.int32)), pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([h[a:b][again[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary())],
+            names=["range", "once", "twice"],
+        )
 
-    def add(self, h: np.ndarray) -> None:
-        h, n = np.unique(h, return_counts=True)
-        at = positions(h, self.bits)
-        put(self.twice, at[:, has(self.once, at) | (n > 1)])
+
+PARTS = "range int, once binary, twice binary"
+
+
+class Merged:
+    """The merged filters of one range."""
+
+    def __init__(self, layout: Layout):
+        self.layout = layout
+        self.once, self.twice = (np.zeros(-(-layout.bits // 8), np.uint8) for _ in range(2))
+
+    def add(self, once: np.ndarray, twice: np.ndarray) -> None:
+        at = positions(once, self.layout)
+        put(self.twice, at[:, has(self.once, at)])
         put(self.once, at)
+        put(self.twice, positions(twice, self.layout))
 
-    def segments(self) -> Iterator[pa.RecordBatch]:
-        size = min(SEGMENT_BITS, self.bits) // 8
-        once, twice = self.once.reshape(-1, size), self.twice.reshape(-1, size)
-        used = np.flatnonzero(once.any(axis=1))
-        for at in np.array_split(used, max(1, len(used) // 256)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array([once[i].tobytes() for i in at], pa.binary()), pa.array([twice[i].tobytes() for i in at], pa.binary())],
-                names=["segment", "once", "twice"],
-            )
 
+def store(uri: str):
+    """(file system, path) of a folder for Python code that runs in tasks."""
+    from pyarrow import fs
 
-SEGMENTS = "segment int, once binary, twice binary"
+    return fs.FileSystem.from_uri(uri)
 
 
-def merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold rows sorted by segment; holds one segment at a time."""
+def merged_filter(parts: DataFrame, layout: Layout) -> str:
+    """Folder of the merged ``twice`` filters of a frame of PARTS, one file a range; ranges without repeats have none."""
+    folder = new_place(parts.sparkSession, "bloom")
 
-    def row(segment: int, twice: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["segment", "twice"])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = store(folder)
+        files.create_dir(path)
 
-    now, once, twice = None, None, None
-    for batch in batches:
-        for segment, o, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            o, t = np.frombuffer(o.as_py(), np.uint8), np.frombuffer(t.as_py(), np.uint8)
-            if segment != now:
-                if now is not None and twice.any():
-                    yield row(now, twice)
-                now, once, twice = segment, o.copy(), t.copy()
+        def keep(now: int, own: Merged) -> pa.RecordBatch:
+            if own.twice.any():
+                # Written under a name of its own and then moved: a task that is run twice leaves one whole file.
+                made = f"{path}/{uuid.uuid4().hex}.part"
+                with files.open_output_stream(made) as out:
+                    out.write(own.twice.tobytes())
+                files.move(made, f"{path}/{now}")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["range"])
+
+        now, own = None, None
+        for batch in batches:
+            for r, once, twice in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if r != now:
+                    if own:
+                        yield keep(now, own)
+                    now, own = r, Merged(layout)
+                own.add(np.frombuffer(once.as_py(), np.int64), np.frombuffer(twice.as_py(), np.int64))
+        if own:
+            yield keep(now, own)
+
+    ship(parts.sparkSession)
+    parts.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "range int").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+class Filter:
+    """The merged filter, as a worker reads it."""
+
+    def __init__(self, folder: str, layout: Layout):
+        self.layout, self.ranges = layout, OrderedDict()
+        self.files, self.path = store(folder)
+
+    def bitmap(self, r: int) -> np.ndarray | None:
+        from pyarrow import fs
+
+        if r not in self.ranges:
+            name = f"{self.path}/{r}"
+            if self.files.get_file_info(name).type == fs.FileType.NotFound:
+                self.ranges[r] = None
+            elif isinstance(self.files, fs.LocalFileSystem):
+                self.ranges[r] = np.memmap(name, np.uint8, "r")
             else:
-                twice |= t | (once & o)
-                once |= o
-    if now is not None and twice.any():
-        yield row(now, twice)
+                while sum(x is not None for x in self.ranges.values()) >= KEEP:
+                    self.ranges.popitem(last=False)
+                with self.files.open_input_stream(name) as f:
+                    self.ranges[r] = np.frombuffer(f.read(), np.uint8)
+        return self.ranges[r]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash may occur more than once; never false for one that does."""
+        r, found = range_of(h, self.layout), np.zeros(len(h), bool)
+        order = np.argsort(r, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(r[order])) + 1) if len(h) else []:
+            if (bitmap := self.bitmap(int(r[own[0]]))) is not None:
+                found[own] = has(bitmap, positions(h[own], self.layout))
+        return found
+
+
+_filters: dict[str, Filter] = {}
 
 
-def merged_filter(segments: DataFrame, bits: int) -> np.ndarray:
-    """The merged ``twice`` bitmap of a frame of SEGMENTS: at most ``bits / 8`` bytes reach the driver."""
-    bitmap = np.zeros(bits // 8, np.uint8)
-    size = min(SEGMENT_BITS, bits) // 8
-    merged = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge_segments, "segment int, twice binary")
-    for segment, twice in merged.toLocalIterator():
-        bitmap[segment * size : (segment + 1) * size] = np.frombuffer(twice, np.uint8)
-    return bitmap
+def opened(folder: str, layout: Layout) -> Filter:
+    """One filter for each worker and folder; the one before it is let go."""
+    if folder not in _filters:
+        _filters.clear()
+        _filters[folder] = Filter(folder, layout)
+    return _filters[folder]
 
 
-def seen_twice(df: DataFrame, column: str, n_hashes: int, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Bitmap of the values of a bigint column that occur more than once; nulls are left out."""
+def seen_twice(df: DataFrame, column: str, layout: Layout) -> str:
+    """Folder of the filter of the values of a bigint column that occur more than once; nulls are left out."""
     ship(df.sparkSession)
-    bits = filter_bits(n_hashes, max_bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SeenTwice(bits)
+        own = Seen(layout)
         for batch in batches:
-            own.add(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
-        yield from own.segments()
+            yield from own.add(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
+        yield from own.rest()
 
-    return merged_filter(df.select(column).mapInArrow(build, SEGMENTS), bits)
+    return merged_filter(df.select(column).mapInArrow(build, PARTS), layout)
 
 
-def maybe_repeated(df: DataFrame, bitmap: np.ndarray, h: Column) -> Column:
+def maybe_repeated(folder: str, layout: Layout, h: Column) -> Column:
     """Whether the hash may occur more than once; never false for one that does, false for null."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def probe(values: pd.Series) -> pd.Series:
-        return pd.Series(has(shared.value, positions(values.to_numpy(), len(shared.value) * 8)))
+        return pd.Series(opened(folder, layout).has(values.to_numpy()))
 
     # A nullable column would reach pandas as doubles, which cannot hold a hash.
     return h.isNotNull() & probe(F.coalesce(h, F.lit(0).cast("bigint")))

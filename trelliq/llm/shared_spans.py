@@ -7,9 +7,10 @@ the block-wise sliding minima below find just those, with the token they hang on
 at equal places, so one hash function finds all of them, and windows that share a signature are the only candidates.
 
 1. A scan fills Bloom filters of signatures (bloom.py); a second scan keeps the windows whose signature may recur.
-2. Equal windows (same signature, place and text) are pre-aggregated; those of two documents are shared as a whole.
-3. The other windows of a signature are compared start by start, as intervals around their common token: in numpy for
-   groups of bounded size, as rows with map-side combine for larger ones. No pair of documents is ever formed.
+2. Equal windows (same signature, place and 128-bit digest) are pre-aggregated; those of two documents are shared as a whole.
+3. The other windows of a signature are joined start by start, as intervals around their common token: in numpy for
+   groups of bounded size, as rows with map-side combine for larger ones. Starts agree by a 128-bit key of their span,
+   signature and place, and in numpy by their text too. No pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trelliq.llm.bloom import MAX_BITS, SEGMENTS, SeenTwice, filter_bits, has, merged_filter, positions
-from trelliq.session import ship, sized, written
+from trelliq.llm.bloom import PARTS, RANGE_BITS, Layout, Seen, merged_filter, opened
+from trelliq.session import ship, written
 
 CHUNK = 1 << 20
 POSITION_BITS = 22
@@ -31,16 +32,16 @@ MAX_GROUP = 4096
 #: Windows sent on at once; a text of one character has a window at each place.
 MOST_WINDOWS = 1 << 15
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Odd multipliers of two independent polynomial hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        _powers["up"] = np.cumprod(np.full(n, BASE, np.uint64))
-        _powers["down"] = np.cumprod(np.full(n, UNBASE, np.uint64))
-    return _powers["up"][:n], _powers["down"][:n]
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _powers or len(_powers[base][0]) < n:
+        _powers[base] = tuple(np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -50,12 +51,12 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, q: int, base: int = BASES[0]) -> np.ndarray:
     """Hash of the q characters from each place, by differences of one polynomial's prefix sums."""
     n = len(codes)
     if n < q:
         return np.empty(0, np.uint64)
-    up, down = powers(n)
+    up, down = powers(n, base)
     x = (codes.astype(np.uint64) + np.uint64(0x1B873593)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     sums = np.empty(n + 1, np.uint64)
@@ -123,95 +124,120 @@ def compact_windows(texts: list[str], length: int, gram: int) -> tuple[np.ndarra
     return h[token].view(np.int64), piece, begin - starts[piece], count, token - begin
 
 
-WINDOWS = "sig bigint, off int, n_starts int, region bigint, at bigint, text string"
+WINDOWS = "sig bigint, off int, n_starts int, region binary, at bigint, text string"
+WINDOW = ["sig", "off", "n_starts", "region"]
 
 
-def scan(df: DataFrame, length: int, gram: int, bits: int, bitmap: np.ndarray | None) -> DataFrame:
-    """Segments of the filter of signatures, or with a bitmap the windows whose signature it holds. ``df``: (id, text)."""
-    ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
+def signatures(df: DataFrame, length: int, gram: int, layout: Layout) -> DataFrame:
+    """PARTS of the filter of signatures of ``df`` (id, text); a signature counts once a text."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SeenTwice(bits)
+        own = Seen(layout)
         for batch in batches:
             for _, _, texts in pieces(batch.column(1).to_pylist(), length):
-                own.add(compact_windows(texts, length, gram)[0])
-        yield from own.segments()
+                sig, piece, *_ = compact_windows(texts, length, gram)
+                new = np.r_[True, (sig[1:] != sig[:-1]) | (piece[1:] != piece[:-1])]  # a run of equal ones is one text's
+                yield from own.add(sig[new])
+        yield from own.rest()
+
+    return df.mapInArrow(fill, PARTS)
+
+
+def repeated_windows(df: DataFrame, length: int, gram: int, layout: Layout, folder: str) -> DataFrame:
+    """(id, WINDOWS) whose signature the filter in ``folder`` holds."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, offsets, texts in pieces(batch.column(1).to_pylist(), length):
                 sig, piece, begin, count, off = compact_windows(texts, length, gram)
-                all_kept = np.flatnonzero(has(shared.value, positions(sig, bits)))
+                all_kept = np.flatnonzero(opened(folder, layout).has(sig))
                 for cut in range(0, len(all_kept), MOST_WINDOWS):
                     kept = all_kept[cut : cut + MOST_WINDOWS]
                     s, p, b, n, o = (x[kept] for x in (sig, piece, begin, count, off))
                     own = [texts[i][j : j + k + length - 1] for i, j, k in zip(p.tolist(), b.tolist(), n.tolist())]
-                    region = np.array([hash_text(t) for t in own], np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.array(rows)[p])), pa.array(s), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(region), pa.array(b + np.array(offsets)[p]), pa.array(own, pa.string())],
-                        names=["id", "sig", "off", "n_starts", "region", "at", "text"],
+                        [batch.column(0).take(pa.array(np.array(rows)[p])), pa.array(s), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(map(digest, own), pa.binary()), pa.array(b + np.array(offsets)[p]), pa.array(own, pa.string())],
+                        names=["id", *WINDOW, "at", "text"],
                     )
 
-    if bitmap is None:
-        return df.mapInArrow(fill, SEGMENTS)
     return df.mapInArrow(keep, f"id {df.schema['id'].dataType.simpleString()}, {WINDOWS}")
 
 
-def hash_text(text: str) -> int:
+def digest(text: str) -> bytes:
+    """128 bits that stand for a text."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def grams_of(batch: dict[str, list], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start within the window, key) of every span start in windows; the key stands for signature, place and text."""
-    rows, starts, keys = [], [], []
-    for at in range(0, len(batch["text"]), 2048):
-        texts = batch["text"][at : at + 2048]
-        n = np.array(batch["n_starts"][at : at + 2048], np.int64)
-        sizes = n + length - 1
-        base = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(texts)), n)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        h = gram_hashes(text_codes("".join(texts)), length)[base[row] + start]
-        place = np.array(batch["off"][at : at + 2048], np.int64)[row] - start
-        sig = np.array(batch["sig"][at : at + 2048], np.int64).view(np.uint64)[row]
-        rows.append(row + at)
-        starts.append(start)
-        keys.append(spread(spread(h + sig) + place.astype(np.uint64)))
-    return np.concatenate(rows), np.concatenate(starts), np.concatenate(keys)
+class Starts:
+    """Every span start in windows: its row, its place in the row's window, and a 128-bit key of two words.
 
+    The key covers signature, place against the common token, and span."""
 
-HIT = "sig bigint, off int, n_starts int, region bigint, from int, upto int"
+    def __init__(self, rows: dict[str, list], length: int):
+        texts, n = rows["text"], np.array(rows["n_starts"], np.int64)
+        self.length, self.codes = length, text_codes("".join(texts))
+        sizes = n + length - 1
+        self.row = np.repeat(np.arange(len(texts)), n)
+        self.start = np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)
+        self.at = (np.cumsum(sizes) - sizes)[self.row] + self.start
+        place = (np.array(rows["off"], np.int64)[self.row] - self.start).astype(np.uint64)
+        sig = np.array(rows["sig"], np.int64).view(np.uint64)[self.row]
+        self.keys = [spread(spread(gram_hashes(self.codes, length, base)[self.at] + sig * np.uint64(2 * i + 1)) + place * np.uint64(2 * i + 3)) for i, base in enumerate(BASES)]
+
+    def same_text(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the spans at ``a`` and at ``b`` (numbers of starts, in order) have the same text, pair by pair.
+
+        Behind a pair whose both sides follow the one before by one character, only the last character is new."""
+        x, y = self.at[a], self.at[b]
+        on = np.zeros(len(x), bool)
+        on[1:] = (x[1:] == x[:-1] + 1) & (y[1:] == y[:-1] + 1)
+        last = self.length - 1
+        if (self.codes[x[on] + last] != self.codes[y[on] + last]).any():
+            return False
+        x, y, span = x[~on], y[~on], np.arange(self.length)
+        return all((self.codes[x[i : i + 4096, None] + span] == self.codes[y[i : i + 4096, None] + span]).all() for i in range(0, len(x), 4096))
+
+    def groups(self) -> np.ndarray:
+        """For each start the number of the first one (in order of key) with the same signature, place and text."""
+        order = np.lexsort(self.keys)
+        a, b = (k[order] for k in self.keys)
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else order
+        leader = np.empty(len(order), np.int64)
+        leader[order] = np.repeat(order[first], np.diff(np.r_[first, len(order)]))
+        many = np.flatnonzero(leader != np.arange(len(leader)))
+        if not self.same_text(many, leader[many]):  # two texts with one 128-bit key: compare the texts themselves
+            seen: dict = {}
+            leader = np.array([seen.setdefault((int(k), int(m), self.codes[i : i + self.length].tobytes()), j) for j, (k, m, i) in enumerate(zip(*self.keys, self.at))], np.int64)
+        return leader
+
+
+HIT = "sig bigint, off int, n_starts int, region binary, from int, upto int"
 
 
 def compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """HIT rows of windows that come sorted by signature: stretches shared with another document of the signature."""
 
     def shared(rows: dict[str, list]) -> pa.RecordBatch:
-        row, start, key = grams_of(rows, length)
+        starts = Starts(rows, length)
+        leader, row, start = starts.groups(), starts.row, starts.start
         # Ids are compared only for equality and order, so any orderable type becomes its rank.
         ids = {x: i for i, x in enumerate(sorted({*rows["lo"], *rows["hi"]}))}
         lo, hi = (np.array([ids[x] for x in rows[c]], np.int64)[row] for c in ("lo", "hi"))
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        two = np.minimum.reduceat(lo[order], first) < np.maximum.reduceat(hi[order], first)
-        mask = np.empty(len(key), bool)
-        mask[order] = np.repeat(two, np.diff(np.r_[first, len(k)]))
-        mask &= lo == hi
+        least, most = np.full(len(row), len(ids)), np.full(len(row), -1)
+        np.minimum.at(least, leader, lo)
+        np.maximum.at(most, leader, hi)
+        mask = (least < most)[leader] & (lo == hi)
         row, start = row[mask], start[mask]
         # Hits of one window closer than a span make one stretch.
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] - start[:-1] > length)]) if len(row) else np.empty(0, np.int64)
         last = np.r_[new[1:], len(row)] - 1 if len(new) else new
         at = row[new].tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows["sig"][i] for i in at], pa.int64()), pa.array([rows["off"][i] for i in at], pa.int32()), pa.array([rows["n_starts"][i] for i in at], pa.int32()), pa.array([rows["region"][i] for i in at], pa.int64()), pa.array(start[new].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))],
-            names=["sig", "off", "n_starts", "region", "from", "upto"],
-        )
+        own = [pa.array([rows[c][i] for i in at], kind) for c, kind in zip(WINDOW, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*own, pa.array(start[new].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))], names=[*WINDOW, "from", "upto"])
 
-    names = ["sig", "off", "n_starts", "region", "lo", "hi", "text"]
+    names = [*WINDOW, "lo", "hi", "text"]
     held: dict[str, list] = {c: [] for c in names}
     for batch in batches:
         part = batch.to_pydict()
@@ -235,18 +261,23 @@ def grams_as_rows(windows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                row, start, key = grams_of(part.select(["sig", "off", "n_starts", "text"]).to_pydict(), length)
-                own = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("sig", "off", "n_starts", "region", "lo", "hi")), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64))], names=["sig", "off", "n_starts", "region", "lo", "hi", "from", "key"])
+                starts = Starts(part.select(["sig", "off", "n_starts", "text"]).to_pydict(), length)
+                own = part.take(pa.array(starts.row))
+                place = own.column("off").to_numpy() - starts.start
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(c) for c in (*WINDOW, "lo", "hi")), pa.array(starts.start.astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in starts.keys)],
+                    names=[*WINDOW, "lo", "hi", "from", "place", "k0", "k1"],
+                )
 
     kind = windows.schema["lo"].dataType.simpleString()
-    rows = windows.mapInArrow(explode, f"sig bigint, off int, n_starts int, region bigint, lo {kind}, hi {kind}, from int, key bigint")
-    two = rows.groupBy("key").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("key")
-    hits = rows.filter("lo = hi").join(two, "key")
-    return hits.select("sig", "off", "n_starts", "region", "from", (F.col("from") + length).alias("upto"))
+    rows = windows.mapInArrow(explode, f"sig bigint, off int, n_starts int, region binary, lo {kind}, hi {kind}, from int, place int, k0 bigint, k1 bigint")
+    key = ["sig", "place", "k0", "k1"]
+    two = rows.groupBy(*key).agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select(*key)
+    hits = rows.filter("lo = hi").join(two, key)
+    return hits.select(*WINDOW, "from", (F.col("from") + length).alias("upto"))
 
 
-def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 160, gram: int | None = None, max_group: int = MAX_GROUP, max_bits: int = MAX_BITS) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 160, gram: int | None = None, max_group: int = MAX_GROUP, range_bits: int = RANGE_BITS) -> DataFrame:
     """(id, start_at, end_at) of each longest unbroken run of shared characters of every document.
 
     A character is shared when it lies in ``length`` consecutive characters (code points, compared exactly) that also
@@ -255,24 +286,24 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 160,
     empty frame.
     """
     gram = gram or max(1, length * 2 // 5)
+    ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").filter(F.length("text") >= length)
     n_chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = filter_bits(2 * n_chars // (length - gram + 2), max_bits)
-    bitmap = merged_filter(scan(own, length, gram, bits, None), bits)
-    windows = written(scan(own, length, gram, bits, bitmap), "windows")
+    layout = Layout.of(2 * n_chars // (length - gram + 2), range_bits)
+    folder = merged_filter(signatures(own, length, gram, layout), layout)
+    windows = written(repeated_windows(own, length, gram, layout, folder), "windows")
 
-    window = ["sig", "off", "n_starts", "region"]
-    distinct = written(windows.groupBy(*window).agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "distinct")
+    distinct = written(windows.groupBy(*WINDOW).agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "distinct")
     groups = distinct.groupBy("sig").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.max(F.col("lo") == F.col("hi")).alias("open"))
     groups = written(groups.filter("a < b AND open AND n > 1").select("sig", "n"), "groups")
-    open_windows = distinct.join(sized(groups, 32), "sig").withColumn("id", F.col("lo"))
-    texts = windows.join(sized(open_windows, 96), [*window, "id"]).select(*window, "lo", "hi", "n", "text")
+    open_windows = distinct.join(groups, "sig").withColumn("id", F.col("lo"))
+    texts = windows.join(open_windows, [*WINDOW, "id"]).select(*WINDOW, "lo", "hi", "n", "text")
     local = texts.filter(F.col("n") <= max_group).drop("n").repartition("sig").sortWithinPartitions("sig")
     hits = local.mapInArrow(lambda batches: compare_groups(batches, length), HIT)
     if groups.filter(F.col("n") > max_group).head(1):
         hits = hits.unionByName(grams_as_rows(texts.filter(F.col("n") > max_group), length))
-    whole = distinct.filter("lo < hi").select(*window, F.lit(0).alias("from"), (F.col("n_starts") + (length - 1)).alias("upto"))
-    stretches = windows.select("id", "at", *window).join(whole.unionByName(hits), window).select("id", (F.col("at") + F.col("from")).alias("start_at"), (F.col("at") + F.col("upto")).alias("end_at"))
+    whole = distinct.filter("lo < hi").select(*WINDOW, F.lit(0).alias("from"), (F.col("n_starts") + (length - 1)).alias("upto"))
+    stretches = windows.select("id", "at", *WINDOW).join(whole.unionByName(hits), WINDOW).select("id", (F.col("at") + F.col("from")).alias("start_at"), (F.col("at") + F.col("upto")).alias("end_at"))
     return merged_runs(stretches).withColumnRenamed("id", id_col)
 
 
