@@ -4,6 +4,7 @@ Method: exact prefix-filter bipartite join. Records with the same set of words a
 with each other); words are ordered from rare to common over all sets; two sets of similarity ``threshold`` or more share
 a word among their first ``n - ceil(threshold * n) + 1``. Evaluation prefixes are the index, training prefixes probe
 it; sizes and positions are compared in the join itself, then the overlap is verified. No pair is lost.
+Records that name the same passages are likewise one class, and reports multiply class sizes instead of listing pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ def at_least(share: float, n: Column) -> Column:
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(eval_key, train_key) of similar sets across sides; ``sets`` has (key, items array<string>, sides)."""
+    """(eval_key, train_key) of similar sets across sides; ``sets`` has (key, items array<string>, sides).
+
+    Prefix rows hold a word's hash, the key, the size and the position, so a long record sends a number of rows but no
+    copies of itself; the words are fetched once for each pair that the filters leave.
+    """
     counts = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
     items = sets.select("key", F.explode("items").alias("item")).join(counts, "item")
     ordered = items.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
@@ -32,21 +37,25 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     def prefixes(side: int) -> DataFrame:
         p = (F.col("n") - at_least(threshold, F.col("n")) + 1).cast("int")
         rows = ordered.filter(F.col("sides").bitwiseAND(side) != 0)
-        return rows.select(F.posexplode(F.slice("items", F.lit(1), p)).alias("pos", "item"), "key", "n", "items")
+        return rows.select("key", "n", F.posexplode(F.slice("items", F.lit(1), p)).alias("pos", "item")).select("key", "n", "pos", F.xxhash64("item").alias("item"))
 
     e, t = prefixes(EVAL).alias("e"), prefixes(TRAIN).alias("t")
-    both = F.col("e.n") + F.col("t.n")
     reach = F.least(F.col("e.n") - F.col("e.pos"), F.col("t.n") - F.col("t.pos"))
-    common = F.size(F.array_intersect("e.items", "t.items"))
-    return (
+    pairs = (
         e.join(t, F.col("e.item") == F.col("t.item"))
         .filter((F.col("e.n") >= at_least(threshold, F.col("t.n"))) & (F.col("t.n") >= at_least(threshold, F.col("e.n"))))
-        .filter(reach >= at_least(threshold / (1 + threshold), both))
-        .filter(common / (both - common) >= threshold)
+        .filter(reach >= at_least(threshold / (1 + threshold), F.col("e.n") + F.col("t.n")))
         .select(F.col("e.key").alias("eval_key"), F.col("t.key").alias("train_key"))
         .distinct()
     )
 
+    def of(side: str) -> DataFrame:
+        return ordered.select(F.col("key").alias(f"{side}_key"), F.col("items").alias(f"{side}_items"))
+
+    common, both = F.size(F.array_intersect("eval_items", "train_items")), F.size("eval_items") + F.size("train_items")
+    found = written(pairs, "pairs").join(of("eval"), "eval_key").join(of("train"), "train_key")
+    return found.filter(common / (both - common) >= threshold).select("eval_key", "train_key")
+
 
 def sides_of(splits: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """(query_id, side) of the records that have a side; rows with a null or another split are left out."""
@@ -54,6 +63,35 @@ def sides_of(splits: DataFrame, train: str = "train", evaluation: tuple[str, ...
     return splits.select("query_id", side.alias("side")).filter("query_id IS NOT NULL AND side IS NOT NULL").distinct()
 
 
+def overlap_classes(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members(via, key, query_id, side), pairs(via, eval_key, train_key) of classes that overlap.
+
+    A class is a set of words for via 'query' and a set of pos_ids for via 'pos_id'. So records that are alike, or that
+    name the same hot passage, are one class, and a pair of classes stands for all pairs of their members. A query_id
+    has one query; of several the smallest counts.
+    """
+    sides = written(sides_of(splits), "sides")
+    own = records.filter("query_id IS NOT NULL").groupBy("query_id").agg(F.min("query").alias("query"))
+    worded = own.join(sides, "query_id").select("query_id", "side", words(F.col("query")).alias("words"))
+    # Written before anything looks at the items: a filter would push their computation down and repeat it.
+    worded = written(worded.select("query_id", "side", shingles("words", words_in_shingle).alias("items")), "members").filter("size(items) > 0")
+    key = F.unhex(F.md5(F.array_join("items", " ")))
+    worded = worded.withColumn("key", key)
+    near = similar_sets(worded.groupBy("key").agg(F.first("items").alias("items"), F.expr("bit_or(side)").alias("sides")), threshold)
+
+    named = records.select("query_id", "pos_id").filter("query_id IS NOT NULL AND pos_id IS NOT NULL").distinct().join(sides, "query_id")
+    # A record's passages are its own few; their digest is the class of all records with just these.
+    placed = written(named.groupBy("query_id", "side").agg(F.array_sort(F.collect_set("pos_id")).alias("pos_ids")).withColumn("key", F.unhex(F.md5(F.to_json("pos_ids")))), "named")
+    kinds = placed.groupBy("key").agg(F.first("pos_ids").alias("pos_ids"), F.expr("bit_or(side)").alias("sides")).select("key", "sides", F.explode("pos_ids").alias("pos_id"))
+
+    def of(side: int, name: str) -> DataFrame:
+        return kinds.filter(F.col("sides").bitwiseAND(side) != 0).select("pos_id", F.col("key").alias(name))
+
+    shared = of(EVAL, "eval_key").join(of(TRAIN, "train_key"), "pos_id").select("eval_key", "train_key").distinct()
+    members = worded.select(F.lit("query").alias("via"), "key", "query_id", "side").unionByName(placed.select(F.lit("pos_id").alias("via"), "key", "query_id", "side"))
+    return members, near.select(F.lit("query").alias("via"), "eval_key", "train_key").unionByName(shared.select(F.lit("pos_id").alias("via"), "eval_key", "train_key"))
+
+
 def cross_split_overlaps(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(eval_id, train_id, via) of every overlap across splits; via is 'query' or 'pos_id'.
 
@@ -61,26 +99,28 @@ def cross_split_overlaps(records: DataFrame, splits: DataFrame, words_in_shingle
     records whose query has too few words have no match by query; repeated rows count once; records without a split are
     left out. Extra columns are ignored, whatever their names. Empty tables give an empty frame.
     """
-    sides = written(sides_of(splits), "sides")
-    own = records.select("query_id", "query").filter("query_id IS NOT NULL").distinct()
-    members = own.join(sides, "query_id").select("query_id", "side", words(F.col("query")).alias("words"))
-    # Written before anything looks at the items: a filter would push their computation down and repeat it.
-    members = written(members.select("query_id", "side", shingles("words", words_in_shingle).alias("items")), "members").filter("size(items) > 0")
-    members = members.withColumn("key", F.unhex(F.md5(F.array_join("items", " "))))
-    sets = members.groupBy("key", "items").agg(F.expr("bit_or(side)").alias("sides"))
-    pairs = similar_sets(sets, threshold)
+    members, pairs = overlap_classes(records, splits, words_in_shingle, threshold)
 
     def side(n: int, key: str, name: str) -> DataFrame:
-        return members.filter(F.col("side") == n).select(F.col("key").alias(key), F.col("query_id").alias(name)).distinct()
+        return members.filter(F.col("side") == n).select("via", F.col("key").alias(key), F.col("query_id").alias(name))
 
-    near = pairs.join(side(EVAL, "eval_key", "eval_id"), "eval_key").join(side(TRAIN, "train_key", "train_id"), "train_key")
-    named = records.select("query_id", "pos_id").filter("pos_id IS NOT NULL").distinct().join(sides, "query_id")
-    shared = named.filter(F.col("side") == EVAL).select("pos_id", F.col("query_id").alias("eval_id")).join(named.filter(F.col("side") == TRAIN).select("pos_id", F.col("query_id").alias("train_id")), "pos_id")
-    shared = shared.filter("eval_id <> train_id").select("eval_id", "train_id").distinct()
-    return near.filter("eval_id <> train_id").select("eval_id", "train_id", F.lit("query").alias("via")).unionByName(shared.withColumn("via", F.lit("pos_id")))
+    found = pairs.join(side(EVAL, "eval_key", "eval_id"), ["via", "eval_key"]).join(side(TRAIN, "train_key", "train_id"), ["via", "train_key"])
+    return found.filter("eval_id <> train_id").select("eval_id", "train_id", "via")
 
 
-def overlap_report(overlaps: DataFrame, splits: DataFrame) -> DataFrame:
-    """(split, source, via, n_queries, n_pairs): overlaps counted by evaluation split and source (null source kept)."""
-    places = splits.select(F.col("query_id").alias("eval_id"), "split", "source").distinct()
-    return overlaps.join(places, "eval_id").groupBy("split", "source", "via").agg(F.countDistinct("eval_id").alias("n_queries"), F.count("*").alias("n_pairs"))
+def overlap_report(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(split, source, via, n_queries, n_pairs): overlaps counted by evaluation split and source (null source kept).
+
+    The counts are products of class sizes, so no pair of records is formed, however many records a class has. Defined
+    for the same awkward rows as ``cross_split_overlaps``.
+    """
+    members, pairs = overlap_classes(records, splits, words_in_shingle, threshold)
+    members, pairs = written(members, "members"), written(pairs, "classes")
+    train = members.filter(F.col("side") == TRAIN).groupBy("via", F.col("key").alias("train_key")).agg(F.count("*").alias("n"))
+    partners = pairs.join(train, ["via", "train_key"]).groupBy("via", F.col("eval_key").alias("key")).agg(F.sum("n").alias("n"))
+    # A record on both sides is no partner of its own.
+    both = members.filter(F.col("side") == TRAIN).select("via", "key", "query_id", F.lit(1).alias("itself"))
+    held = members.filter(F.col("side") == EVAL).drop("side").join(partners, ["via", "key"]).join(both, ["via", "key", "query_id"], "left")
+    held = held.select("via", "query_id", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("n")).filter("n > 0")
+    places = splits.select("query_id", "split", "source").distinct()
+    return held.join(places, "query_id").groupBy("split", "source", "via").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_pairs"))
