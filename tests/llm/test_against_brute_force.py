@@ -48,13 +48,21 @@ def test_format_classes_awkward(spark):
     assert once(classes, "tab", "keep_id", "n_records") == set(brute.format_sizes(given))
 
 
-def test_format_classes_when_the_filter_is_full(spark):
+def test_format_classes_in_many_ranges(spark):
     given = [("", f"{n:05}", f"text {n // 2}") for n in range(20_000)]
     df = spark.createDataFrame(given, "tab string, id string, text string").repartition(4)
-    classes, copies = format_classes(df, "id", "text", max_bits=1 << 16)
+    classes, copies = format_classes(df, "id", "text", range_bits=1 << 15)
     assert copies.count() == 10_000 and classes.count() == 10_000
 
 
+def test_one_id_with_two_texts_and_unshuffled_singletons(spark):
+    df = spark.createDataFrame([("x", "foo one"), ("x", "bar two"), ("y", "baz"), ("z", None), ("z", "!")], "id string, text string")
+    classes, copies = format_classes(df, "id", "text")
+    assert sorted(rows(classes, "keep_id", "n_records")) == [("x", 1), ("x", 1), ("y", 1), ("z", 1)] and copies.count() == 0
+    union, project, filtered = classes._jdf.queryExecution().optimizedPlan().toString().splitlines()[:3]
+    assert union.startswith("Union") and project.startswith(":- Project") and "Filter" in filtered and "NOT again" in filtered and "NOT bare" in filtered
+
+
 def test_format_classes_empty(spark):
     classes, copies = format_classes(spark.createDataFrame([], "id string, text string"), "id", "text")
     assert classes.count() == 0 and copies.count() == 0
@@ -88,6 +96,22 @@ def test_groups_of_any_shape(spark, small_edges):
     assert grouped(related_groups(df, "x", "y", small_edges)) == brute.groups(given)
 
 
+@pytest.mark.parametrize("shape", ["chain", "star", "fans"])
+def test_levels_follow_the_logarithm_of_nodes(spark, shape):
+    """Each level leaves at most half of the nodes, whatever the degrees."""
+    if shape == "chain":
+        edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(500)]
+    elif shape == "star":
+        edges = [("hub", f"n{i:04}") for i in range(500)]
+    else:
+        edges = [(f"s{i:02}", f"s{i + 1:02}") for i in range(18)] + [(f"s{i:02}", f"f{i:02}x{j}") for i in range(19) for j in range(i)]
+    sizes = []
+    found = components(spark.createDataFrame(edges, "src string, dst string").repartition(3), 0, sizes=sizes)
+    labels = rows(found, "node", "label")
+    assert len(labels) == len({x for e in edges for x in e}) and len({x for _, x in labels}) == 1
+    assert all(2 * b <= a for a, b in zip(sizes, sizes[1:])) and len(sizes) <= len(labels).bit_length(), sizes
+
+
 def test_components_without_edges(spark):
     assert components(spark.createDataFrame([], "src string, dst string")).count() == 0
     assert related_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
@@ -159,11 +183,49 @@ def test_near_duplicates_empty(spark):
 # Problem 4
 
 
+def counted(found, places):
+    """The report of pairs, one by one."""
+    ids, pairs = {}, {}
+    for e, t, via in found:
+        for q_, s, o in places:
+            if q_ == e:
+                ids.setdefault((s, o, via), set()).add(e)
+                pairs[s, o, via] = pairs.get((s, o, via), 0) + 1
+    return {k: (len(ids[k]), pairs[k]) for k in pairs}
+
+
+def test_overlap_report_of_a_hot_class(spark):
+    """100,000 copies on each side: counted, never paired; and records on both sides."""
+    n = 100_000
+    text = F.when(F.col("id") % 4 < 2, "Same words in a hot query").otherwise(F.concat(F.lit("own "), F.col("id")))
+    records = spark.range(2 * n).select(F.col("id").cast("string").alias("query_id"), text.alias("query"), F.lit("p").alias("pos_id"))
+    splits = spark.range(2 * n).select(F.col("id").cast("string").alias("query_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), F.lit("s").alias("source"))
+    found = {v: (k, m) for v, k, m in rows(overlap_report(records, splits, 1, 0.8), "via", "n_queries", "n_pairs")}
+    assert found == {"query": (n // 2, (n // 2) ** 2), "pos_id": (n, n * n)}
+    both = spark.createDataFrame([("a", "train", "s"), ("a", "val", "s"), ("b", "train", "s"), ("c", "train", "s"), ("c", "test", None)], "query_id string, split string, source string")
+    given = [("a", "one two", "p"), ("b", "two one", "q"), ("c", "three", "p")]
+    own = spark.createDataFrame(given, "query_id string, query string, pos_id string")
+    report = {(s, o, v): (k, m) for s, o, v, k, m in rows(overlap_report(own, both, 1, 0.8), "split", "source", "via", "n_queries", "n_pairs")}
+    assert report == counted(set(rows(cross_split_overlaps(own, both, 1, 0.8), "eval_id", "train_id", "via")), set(rows(both, "query_id", "split", "source")))
+
+
+def test_long_records_send_rows_and_no_copies(spark):
+    """The prefix rows of records of 10,000 words are as wide as those of short ones."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(10_000)) for _ in range(4)]
+    given = [(str(i), t if i < 4 else texts[i - 4].replace("w1", "x1"), None) for i, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(given, "query_id string, query string, pos_id string")
+    splits = spark.createDataFrame([(str(i), "train" if i < 4 else "test") for i in range(8)], "query_id string, split string")
+    assert once(cross_split_overlaps(df, splits, 1, 0.75), "eval_id", "train_id", "via") == brute.split_overlaps(given, [tuple(x) for x in splits.collect()], 1, 0.75) != set()
+
+
 def test_overlaps_on_tables(spark):
     merged, splits = table(spark, SMALL, "merged"), table(spark, SMALL, "split_rows")
     found = once(q.p4_pairs(spark, SMALL), "eval_id", "train_id", "via")
     assert found == brute.split_overlaps(rows(merged, "query_id", "query", "pos_id"), rows(splits, "query_id", "split"), 1, 0.75)
-    assert sum(n for (n,) in rows(q.p4_report(spark, SMALL), "n_pairs")) == len(found)
+    places = set(rows(splits, "query_id", "split", "source"))
+    report = {(s, o, v): (n, k) for s, o, v, n, k in rows(q.p4_report(spark, SMALL), "split", "source", "via", "n_queries", "n_pairs")}
+    assert report == counted(found, places)
 
 
 @pytest.mark.parametrize(("n", "threshold"), [(1, 0.75), (2, 0.5), (5, 0.8)])
@@ -184,7 +246,9 @@ def test_overlaps_awkward(spark, n, threshold):
     b = spark.createDataFrame(splits, "query_id string, split string").withColumn("source", F.lit(None).cast("string")).withColumn("query", F.lit("z"))
     found = cross_split_overlaps(a.repartition(3), b, n, threshold)
     assert once(found, "eval_id", "train_id", "via") == brute.split_overlaps(records, splits, n, threshold)
-    assert sum(k for (k,) in rows(overlap_report(found, b), "n_pairs")) == found.count()
+    wanted = brute.split_overlaps(records, splits, n, threshold)
+    report = {(s, o, v): (k, m) for s, o, v, k, m in rows(overlap_report(a, b, n, threshold), "split", "source", "via", "n_queries", "n_pairs")}
+    assert report == counted(wanted, {(q_, s, None) for q_, s in splits})
 
 
 def test_overlaps_empty(spark):
@@ -219,6 +283,56 @@ def awkward_documents(r):
     return docs + docs[20:24] + [(200, docs[30][1]), (201, docs[30][1])]
 
 
+def plain_tree_windows(h, width):
+    """(token, first start, starts) of the nodes of the Cartesian tree over ``h`` that hold a whole window, from a stack."""
+    n = len(h)
+    left, right, stack = [0] * n, [n] * n, []
+    for i in range(n):
+        while stack and h[stack[-1]] > h[i]:
+            right[stack.pop()] = i
+        left[i] = stack[-1] + 1 if stack else 0
+        stack.append(i)
+    nodes = ((c, max(left[c], c - width + 1), min(c, right[c] - width)) for c in range(n))
+    return sorted((c, a, b - a + 1) for c, a, b in nodes if b >= a)
+
+
+def test_compact_windows_are_the_wide_nodes_of_the_tree():
+    import numpy as np
+
+    from trelliq.llm.shared_spans import compact_windows, gram_hashes, text_codes
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdef") for _ in range(n)) for n in (40, 41, 100, 700)] + ["abc" * 60]
+    sig, piece, begin, count, off = compact_windows(texts, 40, 9)
+    low = (1 << 22) - 1
+    for i, t in enumerate(texts):
+        h = gram_hashes(text_codes(t), 9)
+        packed = [(int(x) & ~low) | k for k, x in enumerate(h)]
+        mine = piece == i
+        found = sorted(zip((begin + off)[mine].tolist(), begin[mine].tolist(), count[mine].tolist()))
+        assert found == plain_tree_windows(packed, 40 - 9 + 1)
+        assert (sig[mine] == h[(begin + off)[mine]].view(np.int64)).all()
+
+
+@pytest.mark.parametrize("broken", [0, 1])
+def test_spans_when_hashes_collide(spark, monkeypatch, broken):
+    """Starts whose keys collide are told apart by their text."""
+    import numpy as np
+
+    from trelliq.llm import shared_spans as module
+
+    rows_ = {"text": ["abcdefgh", "abcdefgh", "abcdXfgh", "zzzzefgh"], "n_starts": [5] * 4, "off": [2] * 4, "sig": [7] * 4}
+    starts = module.Starts(rows_, 4)
+    if broken:
+        starts.keys = [np.zeros(len(k), np.uint64) for k in starts.keys]
+    leader = starts.groups()
+    span = lambda j: rows_["text"][starts.row[j]][starts.start[j] : starts.start[j] + 4]
+    for a in range(20):
+        for b in range(20):
+            same = span(a) == span(b) and (broken or starts.start[a] == starts.start[b])
+            assert (leader[a] == leader[b]) == same
+
+
 @pytest.mark.parametrize(("seed", "gram", "max_group"), [(1, None, 4096), (2, 1, 4096), (3, 20, 4096), (4, None, 2), (5, 5, 1)])
 def test_spans_awkward(spark, seed, gram, max_group):
     docs = awkward_documents(random.Random(seed))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trelliq.llm.bloom import SeenTwice, filter_bits, has, positions
+from trelliq.llm.bloom import PARTS, Filter, Layout, Merged, Seen, has, merged_filter, positions, range_of
 from trelliq.llm.mixing import mix
 from trelliq.llm.tokens import TOKENIZERS, BytePairTrie, encoder, token_ids
 from trelliq.sources.tables import table
@@ -103,18 +103,47 @@ def test_mixture_of_nothing(spark):
     assert mix(df, targets.limit(0))[1].count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 1000])
-def test_seen_twice_never_forgets(n):
+def build(hashes, layout, parts, tmp_path, spark):
+    rows = [r for k in np.array_split(hashes, parts) for b in (lambda s: [*s.add(k), *s.rest()])(Seen(layout)) for r in b.to_pylist()]
+    return merged_filter(spark.createDataFrame([(r["range"], r["once"], r["twice"]) for r in rows], PARTS), layout)
+
+
+@pytest.mark.parametrize("n", [1, 1000, 100_000])
+def test_the_filter_never_forgets_and_lets_few_through(spark, tmp_path, n):
     r = np.random.default_rng(n)
-    bits = filter_bits(n)
     hashes = r.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
-    parts = [SeenTwice(bits) for _ in range(3)]
-    for k, h in enumerate(np.array_split(hashes, 3)):
-        parts[k].add(h)
-    parts[2].add(hashes[: n // 2 + 1])
-    once, twice = parts[0].once, parts[0].twice
-    for p in parts[1:]:
-        twice, once = twice | p.twice | (once & p.once), once | p.once
-    assert has(twice, positions(hashes[: n // 2 + 1], bits)).all()
+    again = hashes[: n // 10 + 1]
+    layout = Layout.of(n + len(again), 1 << 16)
+    assert layout.ranges * layout.bits >= 12 * n
+    own = Filter(build(np.r_[hashes, again], layout, 7, tmp_path, spark), layout)
+    assert own.has(again).all()
     if n > 1:
-        assert has(twice, positions(hashes[n // 2 + 1 :], bits)).mean() < 0.1
+        assert own.has(hashes[len(again) :]).mean() < 0.05
+
+
+def test_the_filter_follows_the_number_of_hashes():
+    """Hashes a thousand times the bits of one range: unique ones still stay out, for the bits follow the hashes."""
+    bits, n = 1 << 10, 1000 << 10
+    layout = Layout.of(n, bits)
+    assert layout.bits <= bits and layout.ranges > 10_000
+    hashes = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
+    ranges = range_of(hashes, layout)
+    order = np.argsort(ranges, kind="stable")
+    passed = seen = 0
+    for own in np.split(order, np.flatnonzero(np.diff(ranges[order])) + 1)[::5]:
+        merged = Merged(layout)
+        for part in np.array_split(hashes[own], 9):
+            merged.add(part, part[:0])
+        passed += int(has(merged.twice, positions(hashes[own], layout)).sum())
+        seen += len(own)
+    assert seen > 100_000 and passed / seen < 0.05
+
+
+def test_lots_of_one_partition_count_as_met_again():
+    layout = Layout.of(100)
+    own = Seen(layout, lot=10)
+    batches = [b for k in range(4) for b in own.add(np.arange(8, dtype=np.int64) if k % 2 else np.arange(100 + k, 108 + k, dtype=np.int64))] + list(own.rest())
+    merged = Merged(layout)
+    for row in (x for b in batches for x in b.to_pylist()):
+        merged.add(np.frombuffer(row["once"], np.int64), np.frombuffer(row["twice"], np.int64))
+    assert len(batches) > 1 and has(merged.twice, positions(np.arange(8), layout)).all()

@@ -1,10 +1,12 @@
 """Problem 2: train, validation and test splits that keep tied records together.
 
 Method: connected components by frontier breadth-first search. A shared value ties its records to the smallest of them,
-so a value held by a third of all rows adds one edge a row and no pairs. Adjacency lists lie hash-partitioned as edge
-rows; every node that outranks its neighbours (by degree, then hash) is a seed, all seeds expand at the same time, and
-where two labels collide an edge goes to the graph of seeds. That graph is merged in one task when it is small, and by
-the same search again while it is not. Splits follow the order of the components' hashes.
+so a value held by a third of all rows adds one edge a row and no pairs. Adjacency lists are rows of a table bucketed and
+sorted by node, which every step of a level reads without a shuffle. Each node looks at its neighbour of highest hash;
+of two nodes that look at each other the higher is a seed. All seeds expand at the same time, hop by hop, and only the
+nodes labelled last (the frontier) are joined with the adjacency; where two labels collide an edge goes to the graph of
+seeds. That graph is merged in one task when it is small, and by the same search again while it is not. Every seed has a
+neighbour that is none, so a level leaves at most half of its nodes. Splits follow the order of the components' hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from trelliq.session import discard, written
 
 #: A seed graph of at most so many edges is merged in one task.
 SMALL_EDGES = 200_000
-HOPS = 2
+#: Hops of one level. The way to a seed climbs by hash, so few nodes lie further from one; those follow the neighbour
+#: they look at, whose name is then their label.
+HOPS = 4
 
 
 def ties(rows: DataFrame, id_col: str, key_col: str) -> DataFrame:
@@ -47,30 +51,50 @@ def merge_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": list(parent), "label": [root(x) for x in parent]}, dtype=object)
 
 
-def search(edges: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(node, label) after one search from all seeds at once; nodes out of reach are labels of their own."""
-    both = written(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "adjacent")
-    rank = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).select("node", F.struct("degree", F.xxhash64("node").alias("h"), "node").alias("rank"))
-    best = both.join(rank.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("rank").alias("best"))
-    nodes = written(rank.join(best, "node").select("node", F.when(F.col("rank") > F.col("best"), F.col("node")).alias("label")), "nodes")
-    for _ in range(hops):
-        reached = both.join(nodes.filter("label IS NOT NULL").withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        grown = written(nodes.join(reached, "node", "left").select("node", F.coalesce("label", "new").alias("label")), "nodes")
-        discard(nodes)
-        nodes = grown
-    discard(both)
-    return nodes.select("node", F.coalesce("label", "node").alias("label"))
+def search(edges: DataFrame, level: int, hops: int = HOPS) -> DataFrame:
+    """(node, label) after one search from all seeds at once."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = written(both.withColumnRenamed("src", "node"), "adjacent", "node")
 
+    def rank(node: str):
+        return F.struct(F.xxhash64(F.lit(level), F.col(node)).alias("h"), F.col(node).alias("node"))
 
-def components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
-    """(node, label) of every node of ``edges`` (src, dst): two nodes have one label just when they are connected."""
-    nodes = written(search(edges), "labels")
+    # One aggregation over the buckets: each node, and the neighbour it looks at.
+    looks = written(both.groupBy("node").agg(F.max(rank("dst")).alias("to")).select("node", F.col("to.node").alias("to")), "looks", "node")
+    back = looks.select(F.col("node").alias("to"), F.col("to").alias("back"))
+    seeds = looks.join(back, "to").filter((F.col("back") == F.col("node")) & (rank("node") > rank("to"))).select("node", F.col("node").alias("label"))
+    labelled = frontier = written(seeds, "frontier", "node")
+    parts = [frontier]
+    for _ in range(hops):
+        reached = both.join(frontier, "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        frontier = written(reached.join(labelled, "node", "left_anti"), "frontier", "node")
+        if not frontier.head(1):
+            discard(frontier)
+            break
+        parts.append(frontier)
+        labelled = labelled.unionByName(frontier)
+    nodes = written(looks.join(labelled, "node", "left").select("node", F.coalesce("label", "to").alias("label")), "labels", "node")
+    for part in (both, looks, *parts):
+        discard(part)
+    return nodes
+
+
+def components(edges: DataFrame, small_edges: int = SMALL_EDGES, level: int = 1, sizes: list[int] | None = None) -> DataFrame:
+    """(node, label) of every node of ``edges`` (src, dst): two nodes have one label just when they are connected.
+
+    ``sizes`` is given the number of nodes of each level.
+    """
+    nodes = search(edges, level)
+    if sizes is not None:
+        sizes.append(nodes.count())
     a = edges.join(nodes.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
-    seeds = written(a.filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "seeds")
+    chained = nodes.filter("label <> node").join(nodes.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").filter("next <> label").select(F.col("label").alias("a"), F.col("next").alias("b"))
+    tied = a.filter("a <> b").select("a", "b").unionByName(chained)
+    seeds = written(tied.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "seeds")
     n = seeds.count()
     if not n:
         return nodes
-    merged = seeds.coalesce(1).mapInPandas(merge_small, "node string, label string") if n <= small_edges else components(seeds, small_edges)
+    merged = seeds.coalesce(1).mapInPandas(merge_small, "node string, label string") if n <= small_edges else components(seeds, small_edges, level + 1, sizes)
     merged = merged.select(F.col("node").alias("label"), F.col("label").alias("merged"))
     return nodes.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
 
@@ -89,34 +113,30 @@ def related_groups(rows: DataFrame, id_col: str, key_col: str, small_edges: int
     return grouped.unionByName(alone.select(F.col("id").alias("group_id"), "id", F.lit(1).cast("bigint").alias("n")))
 
 
-def split_groups(groups: DataFrame, shares: dict[str, float], seed: int = 42, giant_share: float = 0.01, parts: int = 4096) -> DataFrame:
+def split_groups(groups: DataFrame, shares: dict[str, float], seed: int = 42, giant_share: float = 0.01) -> DataFrame:
     """(group_id, id, split): whole groups to splits in about the given shares.
 
-    Groups above ``giant_share`` of all ids (so at most 1 / giant_share of them) go first, largest first, each to the
-    split with the most room left. The others lie in hash order on a line, cut where the room left of each split ends;
-    a group goes where its middle falls. The same groups and seed give the same splits, in whatever order rows come.
+    Groups lie on a line as long as the number of ids, in the order of the md5 of seed and group_id; a group goes to the
+    split in whose share its middle falls. Groups above ``giant_share`` of all ids (so at most 1 / giant_share of them)
+    stand at the start of the line instead, largest first: in the first split, while it has room. The same groups and
+    seed give the same splits, in whatever order rows come. Extra columns are ignored; no groups give an empty frame.
     """
-    spark = groups.sparkSession
-    total = groups.count()
-    sizes = written(groups.groupBy("group_id").agg(F.count("*").alias("n")), "sizes")
-    giant = F.col("n") > F.lit(giant_share * total)
-    room = {s: share * total for s, share in shares.items()}
-    placed = []
-    for g in sizes.filter(giant).orderBy(F.desc("n"), "group_id").toLocalIterator():
-        best = max(room, key=lambda s: (room[s], -list(room).index(s)))
-        room[best] -= g["n"]
-        placed.append((g["group_id"], best))
-    rest = sizes.filter(~giant).withColumn("h", F.xxhash64(F.lit(seed), "group_id")).withColumn("part", F.pmod("h", F.lit(parts)))
+    own = groups.select("group_id", "id")
+    sizes = own.groupBy("group_id").agg(F.count("*").alias("n"))
+    whole = F.broadcast(sizes.agg(F.sum("n").alias("all")))
+    giant = F.col("n") > F.lit(giant_share) * F.col("all")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), "group_id"))
+    # Giants first, then parts of the line by leading digits: no task orders all groups.
+    line = sizes.crossJoin(whole).withColumn("h", F.when(giant, "").otherwise(h)).withColumn("part", F.substring("h", 1, 3))
+    line = written(line.withColumn("giant", F.when(giant, -F.col("n")).otherwise(0)), "line")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rest.groupBy("part").agg(F.sum("n").alias("of_part")).withColumn("start", F.coalesce(F.sum("of_part").over(before), F.lit(0))).drop("of_part")
-    inside = Window.partitionBy("part").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
+    starts = line.groupBy("part").agg(F.sum("n").alias("of_part")).withColumn("start", F.coalesce(F.sum("of_part").over(before), F.lit(0))).drop("of_part")
+    inside = Window.partitionBy("part").orderBy("giant", "h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.col("inside") - F.col("n") / 2
-    left = total - sum(shares[s] * total - room[s] for s in room)
-    free = {s: max(0.0, r) for s, r in room.items()}
-    scale, edge, split = left / (sum(free.values()) or 1.0), 0.0, None
-    for s in free:
-        edge += free[s] * scale
-        split = F.when(middle <= edge, s) if split is None else split.when(middle <= edge, s)
-    line = rest.withColumn("inside", F.sum("n").over(inside)).join(starts, "part").select("group_id", F.coalesce(split, F.lit(max(free, key=free.get))).alias("split"))
-    giants = spark.createDataFrame(placed, "group_id string, split string")
-    return groups.select("group_id", "id").join(line.unionByName(giants), "group_id")
+    *first, last = shares
+    edge, split = 0.0, None
+    for s in first:
+        edge += shares[s]
+        split = F.when(middle <= F.lit(edge) * F.col("all"), s) if split is None else split.when(middle <= F.lit(edge) * F.col("all"), s)
+    placed = line.withColumn("inside", F.sum("n").over(inside)).join(F.broadcast(starts), "part").select("group_id", (split.otherwise(last) if split is not None else F.lit(last)).alias("split"))
+    return own.join(placed, "group_id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trelliq.llm.tokens import TOKENIZERS, token_counts
-from trelliq.session import sized, written
+from trelliq.session import written
 
 HASH_BUCKETS = 4096
 
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col:
     plan = written(mixture_plan(sizes, targets, total_tokens), "plan")
 
     h = F.xxhash64(F.lit(seed), "doc_id")
-    keyed = counted.join(sized(plan.select("source", "expected"), 64), "source").withColumn("h", h).withColumn("part", F.pmod("h", F.lit(HASH_BUCKETS)))
+    keyed = counted.join(F.broadcast(plan.select("source", "expected")), "source").withColumn("h", h).withColumn("part", F.pmod("h", F.lit(HASH_BUCKETS)))
     ranks = ranked(keyed, "source", "n_tokens", ["h", "doc_id"])
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = F.floor(offset + F.col("expected") * (F.col("rank") + 1)) - F.floor(offset + F.col("expected") * F.col("rank"))

@@ -60,7 +60,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap_report(p4_pairs(spark, folder), table(spark, folder, "split_rows"))
+    return overlap_report(table(spark, folder, "merged"), table(spark, folder, "split_rows"), words_in_shingle=1, threshold=0.75)
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,11 +120,22 @@ P4 = f"""side AS (SELECT DISTINCT query_id, split FROM split_rows WHERE split IN
     found AS (SELECT a AS eval_id, b AS train_id, 'query' AS via FROM c WHERE k / (n - k) >= 0.75
         UNION SELECT x.query_id, y.query_id, 'pos_id' FROM named x JOIN named y USING (pos_id) WHERE x.split <> 'train' AND y.split = 'train')"""
 
+SPANS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160),
+        g AS (SELECT doc_id, i, substr(text, i, 160) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM d)),
+        two AS (SELECT gram FROM g GROUP BY 1 HAVING min(doc_id) < max(doc_id)), h AS (SELECT doc_id, i FROM g WHERE gram IN (SELECT gram FROM two)),
+        o AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 160 THEN 0 ELSE 1 END AS opens FROM h),
+        r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+        spans AS (SELECT doc_id, min(i) - 1 AS start_at, max(i) + 159 AS end_at FROM r GROUP BY doc_id, run)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""WITH {CANONICAL} SELECT tab, keep_id, copy_id FROM (SELECT DISTINCT tab, min(id) OVER (PARTITION BY tab, c) AS keep_id, id AS copy_id FROM canon WHERE c IS NOT NULL)
         WHERE keep_id <> copy_id""",
     "p1_classes": f"WITH {CANONICAL} SELECT tab, min(id) AS keep_id, count(DISTINCT id) AS n_records FROM canon GROUP BY tab, coalesce(c, '-' || id)",
     "p2_found": f"WITH {COMPONENTS} SELECT component AS group_id, query_id FROM comp WHERE component <> query_id",
+    "p2_splits": f"""WITH {COMPONENTS}, sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY 1), whole AS (SELECT sum(n) AS a FROM sizes),
+        line AS (SELECT component, n, a, CASE WHEN n > 0.01::DOUBLE * a THEN -n ELSE 0 END AS giant, CASE WHEN n > 0.01::DOUBLE * a THEN '' ELSE md5('42:' || component) END AS h FROM sizes, whole),
+        m AS (SELECT component, a, sum(n) OVER (ORDER BY giant, h, component ROWS UNBOUNDED PRECEDING) - n / 2 AS middle FROM line)
+        SELECT query_id, component AS group_id, CASE WHEN middle <= 0.8::DOUBLE * a THEN 'train' WHEN middle <= (0.8::DOUBLE + 0.1::DOUBLE) * a THEN 'val' ELSE 'test' END AS split FROM comp JOIN m USING (component)""",
     "p3_found": f"WITH {sets_sql('SELECT id, text FROM corpus', 'text', 3)}, {pairs_sql('sets', 0.5, 'a.id < b.id')} SELECT a AS id_a, b AS id_b FROM alike",
     "p3_links": f"""WITH {sets_sql("SELECT id, text FROM corpus", "text", 5)}, cls AS (SELECT id, min(id) OVER (PARTITION BY items) AS class_id, count(*) OVER (PARTITION BY items) AS n_copies FROM sets),
         reps AS (SELECT * FROM sets WHERE id IN (SELECT class_id FROM cls)), {pairs_sql("reps", 0.8, "a.id <> b.id")}, links AS (SELECT a, count(*) AS k FROM alike GROUP BY 1)
@@ -132,10 +143,9 @@ SQL: dict[str, str] = {
     "p4_found": f"WITH {P4} SELECT least(eval_id, train_id) AS query_id_a, greatest(eval_id, train_id) AS query_id_b, via FROM found",
     "p4_report": f"""WITH {P4}, place AS (SELECT DISTINCT query_id, split, source FROM split_rows)
         SELECT p.split, p.source, via, count(DISTINCT eval_id) AS n_queries, count(*) AS n_pairs FROM found JOIN place p ON p.query_id = eval_id GROUP BY 1, 2, 3""",
-    "p8_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160),
-        g AS (SELECT doc_id, i, substr(text, i, 160) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM d)),
-        two AS (SELECT gram FROM g GROUP BY 1 HAVING min(doc_id) < max(doc_id)), h AS (SELECT doc_id, i FROM g WHERE gram IN (SELECT gram FROM two)),
-        o AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 160 THEN 0 ELSE 1 END AS opens FROM h),
-        r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o)
-        SELECT doc_id, min(i) - 1 AS start_at, max(i) + 159 AS end_at FROM r GROUP BY doc_id, run""",
+    "p8_found": f"WITH {SPANS} SELECT doc_id, start_at, end_at FROM spans",
+    "p8_shares": f"""WITH {SPANS}, sizes AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+        f AS (SELECT doc_id, CAST(sum(end_at - start_at) AS BIGINT) AS n_shared, count(*) AS n_spans FROM spans GROUP BY 1)
+        SELECT doc_id, n_chars, coalesce(n_shared, 0) AS n_shared, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_chars > 0 THEN coalesce(n_shared, 0) / n_chars ELSE 0.0::DOUBLE END AS share
+        FROM sizes LEFT JOIN f USING (doc_id)""",
 }
