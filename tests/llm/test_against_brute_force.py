@@ -141,8 +141,8 @@ def test_near_duplicates_on_tables(spark, n, threshold):
     assert once(found, "id_a", "id_b") == brute.similar_pairs(rows(corpus, "id", "text"), n, threshold)
 
 
-@pytest.mark.parametrize(("n", "threshold"), [(1, 0.5), (1, 0.8), (2, 0.5), (3, 0.5), (3, 0.7)])
-def test_near_duplicates_of_every_size(spark, n, threshold):
+@pytest.mark.parametrize(("n", "threshold", "common"), [(1, 0.5, 256), (1, 0.8, 4), (2, 0.5, 8), (3, 0.5, 2), (3, 0.7, 256)])
+def test_near_duplicates_of_every_size(spark, n, threshold, common):
     """Sizes from one word to some hundred, edits that land on both sides of the threshold, very common phrases."""
     r = random.Random(n)
     given = [("e", ""), ("n", None), (None, "a b c d"), ("w", "one"), ("p", "... !!")]
@@ -157,7 +157,7 @@ def test_near_duplicates_of_every_size(spark, n, threshold):
             given.append((f"b{base}c{copy}", " ".join(own) + r.choice(("", ".", "!"))))
     given += [(f"same{n}", "Same words, again and again") for n in range(40)] + [("same0", "Same words, again and again")]
     df = spark.createDataFrame(given, "id string, text string").withColumn("class_id", F.lit(1)).withColumn("features", F.lit(2)).repartition(4)
-    members, links = near_duplicates(df, "id", "text", n, threshold)
+    members, links = near_duplicates(df, "id", "text", n, threshold, common)
     assert once(expanded_pairs(members, links), "id_a", "id_b") == brute.similar_pairs(given, n, threshold)
     assert all(abs(s - round(s, 12)) < 1e-9 and s >= threshold for (s,) in rows(links, "similarity"))
     counts = {i: (c, k) for i, c, k in rows(link_counts(members, links), "id", "n_copies", "n_links")}
@@ -171,7 +171,7 @@ def test_near_duplicates_with_heavy_features(spark):
     common = [f"c{n}" for n in range(12)]
     given = [(f"{n:03}", " ".join(r.sample(common, 8) + [f"w{r.randrange(60)}" for _ in range(r.randrange(3))])) for n in range(300)]
     df = spark.createDataFrame(given, "id string, text string").repartition(4)
-    found = expanded_pairs(*near_duplicates(df, "id", "text", 1, 0.7, heavy_share=0.01))
+    found = expanded_pairs(*near_duplicates(df, "id", "text", 1, 0.7, common=4))
     assert once(found, "id_a", "id_b") == brute.similar_pairs(given, 1, 0.7)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +52,7 @@ class Layout:
 
 
 def scattered(h: np.ndarray) -> np.ndarray:
-    x = h.astype(np.int64).view(np.uint64)
+    x = h.view(np.uint64) if h.dtype == np.int64 else h.astype(np.uint64)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -123,11 +123,16 @@ class Merged:
         self.layout = layout
         self.once, self.twice = (np.zeros(-(-layout.bits // 8), np.uint8) for _ in range(2))
 
-    def add(self, once: np.ndarray, twice: np.ndarray) -> None:
-        at = positions(once, self.layout)
-        put(self.twice, at[:, has(self.once, at)])
-        put(self.once, at)
-        put(self.twice, positions(twice, self.layout))
+    def add(self, once: pa.Array, twice: pa.Array) -> None:
+        for o, t in zip(once, twice):
+            o, t = (np.frombuffer(x.as_py(), np.int64) for x in (o, t))
+            at = positions(o, self.layout)
+            put(self.twice, at[:, has(self.once, at)])
+            put(self.once, at)
+            put(self.twice, positions(t, self.layout))
+
+    def done(self) -> bytes | None:
+        return self.twice.tobytes() if self.twice.any() else None
 
 
 def store(uri: str):
@@ -137,47 +142,55 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def merged_filter(parts: DataFrame, layout: Layout) -> str:
-    """Folder of the merged ``twice`` filters of a frame of PARTS, one file a range; ranges without repeats have none."""
-    folder = new_place(parts.sparkSession, "bloom")
+def range_files(rows: DataFrame, name: str, begin: Callable, columns: int) -> str:
+    """Folder in the shared storage with one file for each value of ``range``, the first of the columns of ``rows``.
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``begin()`` makes the state of a range, which takes slices of the other columns by ``add(*columns)`` and becomes the
+    bytes of the file by ``done()``, or None for no file. One task folds one range after the other.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    folder = new_place(spark, name)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
         files.create_dir(path)
 
-        def keep(now: int, own: Merged) -> pa.RecordBatch:
-            if own.twice.any():
+        def keep(now: int, state) -> pa.RecordBatch:
+            if (made := state.done()) is not None:
                 # Written under a name of its own and then moved: a task that is run twice leaves one whole file.
-                made = f"{path}/{uuid.uuid4().hex}.part"
-                with files.open_output_stream(made) as out:
-                    out.write(own.twice.tobytes())
-                files.move(made, f"{path}/{now}")
+                part = f"{path}/{uuid.uuid4().hex}.part"
+                with files.open_output_stream(part) as out:
+                    out.write(made)
+                files.move(part, f"{path}/{now}")
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["range"])
 
-        now, own = None, None
+        now, state = None, None
         for batch in batches:
-            for r, once, twice in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if r != now:
-                    if own:
-                        yield keep(now, own)
-                    now, own = r, Merged(layout)
-                own.add(np.frombuffer(once.as_py(), np.int64), np.frombuffer(twice.as_py(), np.int64))
-        if own:
-            yield keep(now, own)
-
-    ship(parts.sparkSession)
-    parts.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "range int").write.format("noop").mode("overwrite").save()
+            r = batch.column(0).to_numpy()
+            cuts = [*np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).tolist(), len(r)] if len(r) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if r[a] != now:
+                    if state is not None:
+                        yield keep(now, state)
+                    now, state = int(r[a]), begin()
+                state.add(*(batch.column(i).slice(a, b - a) for i in range(1, columns)))
+        if state is not None:
+            yield keep(now, state)
+
+    rows.repartition("range").sortWithinPartitions("range").mapInArrow(fold, "range int").write.format("noop").mode("overwrite").save()
     return folder
 
 
-class Filter:
-    """The merged filter, as a worker reads it."""
+class RangeFiles:
+    """The files of ``range_files``, as a worker reads them."""
 
-    def __init__(self, folder: str, layout: Layout):
-        self.layout, self.ranges = layout, OrderedDict()
+    def __init__(self, folder: str):
+        self.ranges: OrderedDict[int, np.ndarray | None] = OrderedDict()
         self.files, self.path = store(folder)
 
-    def bitmap(self, r: int) -> np.ndarray | None:
+    def of(self, r: int) -> np.ndarray | None:
+        """The bytes of a range, mapped where the storage allows it."""
         from pyarrow import fs
 
         if r not in self.ranges:
@@ -193,25 +206,38 @@ class Filter:
                     self.ranges[r] = np.frombuffer(f.read(), np.uint8)
         return self.ranges[r]
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        """Whether each hash may occur more than once; never false for one that does."""
-        r, found = range_of(h, self.layout), np.zeros(len(h), bool)
+    def split(self, h: np.ndarray, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in ``h``, bytes) of each range that has a file."""
+        r = range_of(h, layout)
         order = np.argsort(r, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(r[order])) + 1) if len(h) else []:
-            if (bitmap := self.bitmap(int(r[own[0]]))) is not None:
-                found[own] = has(bitmap, positions(h[own], self.layout))
-        return found
+            if (found := self.of(int(r[own[0]]))) is not None:
+                yield own, found
+
 
+_opened: dict[str, RangeFiles] = {}
 
-_filters: dict[str, Filter] = {}
+
+def opened(folder: str) -> RangeFiles:
+    """One reader for each worker and folder; of those before it the last stays."""
+    if folder not in _opened:
+        while len(_opened) > 1:
+            _opened.pop(next(iter(_opened)))
+        _opened[folder] = RangeFiles(folder)
+    return _opened[folder]
+
+
+def merged_filter(parts: DataFrame, layout: Layout) -> str:
+    """Folder of the merged ``twice`` filters of a frame of PARTS; ranges without repeats have no file."""
+    return range_files(parts, "bloom", lambda: Merged(layout), 3)
 
 
-def opened(folder: str, layout: Layout) -> Filter:
-    """One filter for each worker and folder; the one before it is let go."""
-    if folder not in _filters:
-        _filters.clear()
-        _filters[folder] = Filter(folder, layout)
-    return _filters[folder]
+def repeated(folder: str, layout: Layout, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may occur more than once; never false for one that does."""
+    found = np.zeros(len(h), bool)
+    for own, bitmap in opened(folder).split(h, layout):
+        found[own] = has(bitmap, positions(h[own], layout))
+    return found
 
 
 def seen_twice(df: DataFrame, column: str, layout: Layout) -> str:
@@ -232,7 +258,7 @@ def maybe_repeated(folder: str, layout: Layout, h: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def probe(values: pd.Series) -> pd.Series:
-        return pd.Series(opened(folder, layout).has(values.to_numpy()))
+        return pd.Series(repeated(folder, layout, values.to_numpy()))
 
     # A nullable column would reach pandas as doubles, which cannot hold a hash.
     return h.isNotNull() & probe(F.coalesce(h, F.lit(0).cast("bigint")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trelliq.llm.bloom import PARTS, RANGE_BITS, Layout, Seen, merged_filter, opened
+from trelliq.llm.bloom import PARTS, RANGE_BITS, Layout, Seen, merged_filter, repeated
 from trelliq.session import ship, written
 
 CHUNK = 1 << 20
@@ -150,7 +150,7 @@ def repeated_windows(df: DataFrame, length: int, gram: int, layout: Layout, fold
         for batch in batches:
             for rows, offsets, texts in pieces(batch.column(1).to_pylist(), length):
                 sig, piece, begin, count, off = compact_windows(texts, length, gram)
-                all_kept = np.flatnonzero(opened(folder, layout).has(sig))
+                all_kept = np.flatnonzero(repeated(folder, layout, sig))
                 for cut in range(0, len(all_kept), MOST_WINDOWS):
                     kept = all_kept[cut : cut + MOST_WINDOWS]
                     s, p, b, n, o = (x[kept] for x in (sig, piece, begin, count, off))
