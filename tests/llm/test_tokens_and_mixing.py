@@ -106,7 +106,7 @@ def test_mixture_of_nothing(spark):
 
 def build(hashes, layout, parts, tmp_path, spark):
     rows = [r for k in np.array_split(hashes, parts) for b in (lambda s: [*s.add(k), *s.rest()])(Seen(layout)) for r in b.to_pylist()]
-    return merged_filter(spark.createDataFrame([(r["range"], r["once"], r["twice"]) for r in rows], PARTS), layout)
+    return merged_filter(spark.createDataFrame([(r["range"], r["hashes"], r["counts"]) for r in rows], PARTS), layout)
 
 
 @pytest.mark.parametrize("n", [1, 1000, 100_000])
@@ -134,8 +134,8 @@ def test_the_filter_follows_the_number_of_hashes():
     for own in np.split(order, np.flatnonzero(np.diff(ranges[order])) + 1)[::5]:
         merged = Merged(layout)
         for part in np.array_split(hashes[own], 9):
-            merged.add(pa.array([part.tobytes()]), pa.array([b""]))
-        passed += int(has(merged.twice, positions(hashes[own], layout)).sum())
+            merged.add(pa.array([part.tobytes()]), pa.array([np.full(len(part), 65537, np.uint32).tobytes()]))
+        passed += int(has(merged.twice, positions(hashes[own], layout.bits)).sum())
         seen += len(own)
     assert seen > 100_000 and passed / seen < 0.05
 
@@ -147,4 +147,4 @@ def test_lots_of_one_partition_count_as_met_again():
     merged = Merged(layout)
     for b in batches:
         merged.add(b.column(1), b.column(2))
-    assert len(batches) > 1 and has(merged.twice, positions(np.arange(8), layout)).all()
+    assert len(batches) > 1 and has(merged.twice, positions(np.arange(8), layout.bits)).all()

@@ -5,8 +5,8 @@ Merging is associative: ``twice = t1 | t2 | (o1 & o2)``, ``once = o1 | o2``. A h
 all its bits in ``twice``: the filter has false positives but no false negatives.
 
 The filter has BITS_PER_HASH bits for each hash, however many there are: hashes fall into ranges of at most RANGE_BITS
-bits, a partition's part of a range travels as the hashes that set its bits (8 bytes each, fewer than the addresses of the
-bits), one task merges one range at a time, and the merged ranges are files in the shared folder. Tasks map a range's file
+bits, a partition's part of a range travels as the hashes that set its bits and their counts (12 bytes each, about as much
+as the addresses of the bits), one task merges one range at a time, and the merged ranges are files in the shared folder. Tasks map a range's file
 into memory when they first probe it, so neither the driver nor a worker's heap ever holds the filter. Where the shared
 folder cannot be mapped (an object store), a worker reads ranges as it needs them and keeps the last KEEP.
 """
@@ -28,8 +28,9 @@ from trelliq.session import new_place, ship
 
 BITS_PER_HASH = 12
 PROBES = 3
-#: A merging task holds two bitmaps of this size.
-RANGE_BITS = 1 << 28
+#: A merging task holds two bitmaps of at most this size.
+RANGE_BITS = 1 << 27
+SMALL_BITS, MANY = 1 << 22, 1024
 #: Hashes that a partition collects before it sends them on; a hash met in two such lots counts as met again.
 LOT = 1 << 22
 #: Ranges that a worker keeps where files cannot be mapped.
@@ -45,9 +46,10 @@ class Layout:
 
     @staticmethod
     def of(n_hashes: int, range_bits: int = RANGE_BITS) -> Layout:
-        """Room for so many hashes."""
+        """Room for so many hashes: up to MANY ranges of SMALL_BITS for the sake of parallel merging, then larger ones, and
+        from MANY of ``range_bits`` on more of them."""
         wanted = max(1 << 16, BITS_PER_HASH * n_hashes)
-        ranges = -(-wanted // range_bits)
+        ranges = max(-(-wanted // range_bits), min(MANY, -(-wanted // SMALL_BITS)))
         return Layout(ranges, min(range_bits, -(-wanted // ranges // 64) * 64 + 64))
 
 
@@ -67,12 +69,12 @@ def range_of(h: np.ndarray, layout: Layout) -> np.ndarray:
     return fraction(scattered(h), layout.ranges)
 
 
-def positions(h: np.ndarray, layout: Layout) -> np.ndarray:
+def positions(h: np.ndarray, bits: int) -> np.ndarray:
     """PROBES bit positions of each hash within its range, as rows of a matrix."""
     x, out = scattered(h), np.empty((PROBES, len(h)), dtype=np.int64)
     for k in range(PROBES):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-        out[k] = fraction(x, layout.bits)
+        out[k] = fraction(x, bits)
     return out
 
 
@@ -86,13 +88,14 @@ def put(bitmap: np.ndarray, at: np.ndarray) -> None:
 
 
 class Seen:
-    """The filters of one partition, lot by lot, as rows of PARTS."""
+    """The hashes of one partition, lot by lot, as rows of PARTS."""
 
     def __init__(self, layout: Layout, lot: int = LOT):
         self.layout, self.lot, self.held, self.size = layout, lot, [], 0
 
-    def add(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(h.astype(np.int64))
+    def add(self, h: np.ndarray, first: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``first`` tells which hashes are the first of their text; all are where it is left out."""
+        self.held.append((h.astype(np.int64), np.ones(len(h), bool) if first is None else first))
         self.size += len(h)
         if self.size >= self.lot:
             yield from self.rest()
@@ -100,20 +103,30 @@ class Seen:
     def rest(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        h, n = np.unique(np.concatenate(self.held), return_counts=True)
+        h, first = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
+        h, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        texts = np.bincount(at, weights=first, minlength=len(h)).astype(np.uint32)
+        counts = (np.minimum(n, 0xFFFF).astype(np.uint32) << np.uint32(16)) | np.minimum(texts, np.uint32(0xFFFF))
         r = range_of(h, self.layout)
         order = np.argsort(r, kind="stable")
-        h, again, r = h[order], (n > 1)[order], r[order]
+        h, counts, r = h[order], counts[order], r[order]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         ends = [*first[1:].tolist(), len(h)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(r[first].astype(np.int32)), pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([h[a:b][again[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary())],
-            names=["range", "once", "twice"],
+            [pa.array(r[first].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in (h, counts))],
+            names=["range", "hashes", "counts"],
         )
 
 
-PARTS = "range int, once binary, twice binary"
+#: Hashes of a range, each with its count (upper half) and that of texts with it (lower half), at most 65,535 each.
+PARTS = "range int, hashes binary, counts binary"
+
+
+def unpacked(hashes: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, counts of texts)."""
+    both = np.frombuffer(counts.as_py(), np.uint32)
+    return np.frombuffer(hashes.as_py(), np.int64), both >> np.uint32(16), both & np.uint32(0xFFFF)
 
 
 class Merged:
@@ -123,13 +136,12 @@ class Merged:
         self.layout = layout
         self.once, self.twice = (np.zeros(-(-layout.bits // 8), np.uint8) for _ in range(2))
 
-    def add(self, once: pa.Array, twice: pa.Array) -> None:
-        for o, t in zip(once, twice):
-            o, t = (np.frombuffer(x.as_py(), np.int64) for x in (o, t))
-            at = positions(o, self.layout)
-            put(self.twice, at[:, has(self.once, at)])
+    def add(self, hashes: pa.Array, counts: pa.Array) -> None:
+        for parts in zip(hashes, counts):
+            h, n, _ = unpacked(*parts)
+            at = positions(h, self.layout.bits)
+            put(self.twice, at[:, has(self.once, at) | (n > 1)])
             put(self.once, at)
-            put(self.twice, positions(t, self.layout))
 
     def done(self) -> bytes | None:
         return self.twice.tobytes() if self.twice.any() else None
@@ -236,7 +248,7 @@ def repeated(folder: str, layout: Layout, h: np.ndarray) -> np.ndarray:
     """Whether each hash may occur more than once; never false for one that does."""
     found = np.zeros(len(h), bool)
     for own, bitmap in opened(folder).split(h, layout):
-        found[own] = has(bitmap, positions(h[own], layout))
+        found[own] = has(bitmap, positions(h[own], layout.bits))
     return found
 
 

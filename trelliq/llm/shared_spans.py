@@ -6,11 +6,15 @@ Cartesian tree over the hashes: the range in which one token stays the smallest.
 the block-wise sliding minima below find just those, with the token they hang on. Equal spans have equal signatures
 at equal places, so one hash function finds all of them, and windows that share a signature are the only candidates.
 
-1. A scan fills Bloom filters of signatures (bloom.py); a second scan keeps the windows whose signature may recur.
-2. Equal windows (same signature, place and 128-bit digest) are pre-aggregated; those of two documents are shared as a whole.
-3. The other windows of a signature are joined start by start, as intervals around their common token: in numpy for
-   groups of bounded size, as rows with map-side combine for larger ones. Starts agree by a 128-bit key of their span,
-   signature and place, and in numpy by their text too. No pair of documents is ever formed.
+1. A scan counts signatures by hash range; those of two texts or more go into Bloom filters (bloom.py), those of more
+   than MAX_GROUP windows into a list beside them. Both are shared files.
+2. A second scan keeps the windows whose signature may recur. They are shuffled by signature once, and the windows of
+   a signature are joined as intervals around their common token: equal ones are one, those of two documents are shared
+   as a whole, the others start by start. Starts agree by a 128-bit key of span, signature and place, and by their text.
+3. Windows of the listed signatures are never brought together: equal ones (signature, place and 128-bit digest) are
+   combined before they are shuffled, the others become one row a start, combined likewise.
+
+No pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trelliq.llm.bloom import PARTS, RANGE_BITS, Layout, Seen, merged_filter, repeated
+from trelliq.llm.bloom import BITS_PER_HASH, PARTS, RANGE_BITS, Layout, Seen, has, opened, positions, put, range_files, unpacked
 from trelliq.session import ship, written
 
 CHUNK = 1 << 20
 POSITION_BITS = 22
-#: Signatures with more distinct windows than this are compared as rows instead of in one task.
+#: Signatures with more windows than this are compared as rows instead of in one task.
 MAX_GROUP = 4096
 #: Windows sent on at once; a text of one character has a window at each place.
 MOST_WINDOWS = 1 << 15
@@ -124,40 +128,77 @@ def compact_windows(texts: list[str], length: int, gram: int) -> tuple[np.ndarra
     return h[token].view(np.int64), piece, begin - starts[piece], count, token - begin
 
 
-WINDOWS = "sig bigint, off int, n_starts int, region binary, at bigint, text string"
 WINDOW = ["sig", "off", "n_starts", "region"]
+WINDOWS = "sig bigint, off int, n_starts int, region binary, at bigint, text string, hot boolean"
 
 
 def signatures(df: DataFrame, length: int, gram: int, layout: Layout) -> DataFrame:
-    """PARTS of the filter of signatures of ``df`` (id, text); a signature counts once a text."""
+    """PARTS of the signatures of ``df`` (id, text)."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Seen(layout)
         for batch in batches:
             for _, _, texts in pieces(batch.column(1).to_pylist(), length):
                 sig, piece, *_ = compact_windows(texts, length, gram)
-                new = np.r_[True, (sig[1:] != sig[:-1]) | (piece[1:] != piece[:-1])]  # a run of equal ones is one text's
-                yield from own.add(sig[new])
+                order = np.lexsort((sig, piece))
+                sig, piece = sig[order], piece[order]
+                yield from own.add(sig, np.r_[True, (sig[1:] != sig[:-1]) | (piece[1:] != piece[:-1])] if len(sig) else None)
         yield from own.rest()
 
     return df.mapInArrow(fill, PARTS)
 
 
+class Recurring:
+    """The signatures of one range that stand in two texts or more: a file of the number of hot ones, these in order, and a
+    Bloom filter of all."""
+
+    def __init__(self, max_group: int):
+        self.max_group, self.held = max_group, []
+
+    def add(self, hashes: pa.Array, counts: pa.Array) -> None:
+        self.held += [unpacked(*parts) for parts in zip(hashes, counts)]
+
+    def done(self) -> bytes | None:
+        h, at = np.unique(np.concatenate([h for h, _, _ in self.held]), return_inverse=True)
+        n, texts = (np.bincount(at, weights=np.concatenate([x[i] for x in self.held]), minlength=len(h)) for i in (1, 2))
+        if not (recurs := texts > 1).any():
+            return None
+        bits = max(64, -(-BITS_PER_HASH * int(recurs.sum()) // 64) * 64)
+        bitmap = np.zeros(bits // 8, np.uint8)
+        put(bitmap, positions(h[recurs], bits))
+        hot = h[recurs & (n > self.max_group)]
+        return np.array([len(hot)], np.int64).tobytes() + hot.tobytes() + bitmap.tobytes()
+
+
+def recurring(folder: str, layout: Layout, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each signature may stand in two texts, whether it is hot); the first is never false for one that does."""
+    found, hot = np.zeros(len(sig), bool), np.zeros(len(sig), bool)
+    for own, data in opened(folder).split(sig, layout):
+        n = int(data[:8].view(np.int64)[0])
+        listed, bitmap = data[8 : 8 + 8 * n].view(np.int64), data[8 + 8 * n :]
+        found[own] = has(bitmap, positions(sig[own], len(bitmap) * 8))
+        if n:
+            hot[own] = listed[np.minimum(np.searchsorted(listed, sig[own]), n - 1)] == sig[own]
+    return found, hot
+
+
 def repeated_windows(df: DataFrame, length: int, gram: int, layout: Layout, folder: str) -> DataFrame:
-    """(id, WINDOWS) whose signature the filter in ``folder`` holds."""
+    """(id, WINDOWS) whose signature recurs; only hot ones have a digest of their text (region)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, offsets, texts in pieces(batch.column(1).to_pylist(), length):
                 sig, piece, begin, count, off = compact_windows(texts, length, gram)
-                all_kept = np.flatnonzero(repeated(folder, layout, sig))
+                found, hot = recurring(folder, layout, sig)
+                all_kept = np.flatnonzero(found)
                 for cut in range(0, len(all_kept), MOST_WINDOWS):
                     kept = all_kept[cut : cut + MOST_WINDOWS]
-                    s, p, b, n, o = (x[kept] for x in (sig, piece, begin, count, off))
+                    s, p, b, n, o, hots = (x[kept] for x in (sig, piece, begin, count, off, hot))
                     own = [texts[i][j : j + k + length - 1] for i, j, k in zip(p.tolist(), b.tolist(), n.tolist())]
+                    region = [digest(t) if x else None for t, x in zip(own, hots.tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.array(rows)[p])), pa.array(s), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(map(digest, own), pa.binary()), pa.array(b + np.array(offsets)[p]), pa.array(own, pa.string())],
-                        names=["id", *WINDOW, "at", "text"],
+                        [batch.column(0).take(pa.array(np.array(rows)[p])), pa.array(s), pa.array(o.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(region, pa.binary()), pa.array(b + np.array(offsets)[p]), pa.array(own, pa.string()), pa.array(hots)],
+                        names=["id", *WINDOW, "at", "text", "hot"],
                     )
 
     return df.mapInArrow(keep, f"id {df.schema['id'].dataType.simpleString()}, {WINDOWS}")
@@ -213,49 +254,69 @@ class Starts:
         return leader
 
 
-HIT = "sig bigint, off int, n_starts int, region binary, from int, upto int"
-
-
-def compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """HIT rows of windows that come sorted by signature: stretches shared with another document of the signature."""
-
-    def shared(rows: dict[str, list]) -> pa.RecordBatch:
-        starts = Starts(rows, length)
-        leader, row, start = starts.groups(), starts.row, starts.start
-        # Ids are compared only for equality and order, so any orderable type becomes its rank.
-        ids = {x: i for i, x in enumerate(sorted({*rows["lo"], *rows["hi"]}))}
-        lo, hi = (np.array([ids[x] for x in rows[c]], np.int64)[row] for c in ("lo", "hi"))
-        least, most = np.full(len(row), len(ids)), np.full(len(row), -1)
-        np.minimum.at(least, leader, lo)
-        np.maximum.at(most, leader, hi)
-        mask = (least < most)[leader] & (lo == hi)
-        row, start = row[mask], start[mask]
+def stretches_of(rows: dict[str, list], length: int, kind: pa.DataType) -> pa.RecordBatch:
+    """(id, start_at, end_at) of the shared stretches of whole groups of windows with one signature."""
+    # Equal windows are one. Ids are compared only for equality and order, so any orderable type becomes its rank.
+    seen: dict = {}
+    one = np.array([seen.setdefault(x, len(seen)) for x in zip(rows["sig"], rows["off"], rows["text"])], np.int64)
+    sigs, offs, texts = zip(*seen)
+    ids = {x: i for i, x in enumerate(sorted(set(rows["id"])))}
+    rank = np.array([ids[x] for x in rows["id"]], np.int64)
+    lo, hi = np.full(len(seen), len(ids)), np.full(len(seen), -1)
+    np.minimum.at(lo, one, rank)
+    np.maximum.at(hi, one, rank)
+    n = np.array([len(t) - length + 1 for t in texts], np.int64)
+    group = np.unique(np.array(sigs, np.int64), return_inverse=True)[1]
+    n_windows, n_open = np.bincount(group), np.bincount(group, weights=lo == hi)
+    use = np.flatnonzero(((n_windows > 1) & (n_open > 0))[group])
+    shared, begin, end = [np.flatnonzero(lo < hi)], [np.zeros(int((lo < hi).sum()), np.int64)], [n[lo < hi] + length - 1]
+    if len(use):
+        starts = Starts({"text": [texts[i] for i in use], "off": [offs[i] for i in use], "sig": [sigs[i] for i in use], "n_starts": n[use]}, length)
+        leader, window, start = starts.groups(), use[starts.row], starts.start
+        least, most = np.full(len(window), len(ids)), np.full(len(window), -1)
+        np.minimum.at(least, leader, lo[window])
+        np.maximum.at(most, leader, hi[window])
+        mask = (least < most)[leader] & (lo == hi)[window]
+        window, start = window[mask], start[mask]
         # Hits of one window closer than a span make one stretch.
-        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] - start[:-1] > length)]) if len(row) else np.empty(0, np.int64)
-        last = np.r_[new[1:], len(row)] - 1 if len(new) else new
-        at = row[new].tolist()
-        own = [pa.array([rows[c][i] for i in at], kind) for c, kind in zip(WINDOW, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
-        return pa.RecordBatch.from_arrays([*own, pa.array(start[new].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))], names=[*WINDOW, "from", "upto"])
-
-    names = [*WINDOW, "lo", "hi", "text"]
+        new = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (start[1:] - start[:-1] > length)]) if len(window) else np.empty(0, np.int64)
+        last = np.r_[new[1:], len(window)] - 1 if len(new) else new
+        shared.append(window[new])
+        begin.append(start[new])
+        end.append(start[last] + length)
+    shared, begin, end = map(np.concatenate, (shared, begin, end))
+    # From the distinct windows back to all rows.
+    order = np.argsort(one, kind="stable")
+    first, many = np.searchsorted(one[order], shared), np.bincount(one, minlength=len(seen))[shared]
+    which = np.repeat(np.arange(len(shared)), many)
+    row = order[first[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
+    at = np.array(rows["at"], np.int64)[row]
+    return pa.RecordBatch.from_arrays([pa.array([rows["id"][i] for i in row.tolist()], kind), pa.array(at + begin[which]), pa.array(at + end[which])], names=["id", "start_at", "end_at"])
+
+
+def joined_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """``stretches_of`` windows that come sorted by signature, in lots of whole groups."""
+    names = ["id", "sig", "off", "at", "text"]
     held: dict[str, list] = {c: [] for c in names}
+    kind = None
     for batch in batches:
-        part = batch.to_pydict()
+        kind = batch.schema.field("id").type
         for c in names:
-            held[c] += part[c]
+            held[c] += batch.column(c).to_pylist()
         if len(held["sig"]) > 4 * MAX_GROUP:  # all groups but the last are whole
             cut = len(held["sig"])
             while cut and held["sig"][cut - 1] == held["sig"][-1]:
                 cut -= 1
             if cut:
-                yield shared({c: held[c][:cut] for c in names})
+                yield stretches_of({c: held[c][:cut] for c in names}, length, kind)
                 held = {c: held[c][cut:] for c in names}
     if held["sig"]:
-        yield shared(held)
+        yield stretches_of(held, length, kind)
 
 
 def grams_as_rows(windows: DataFrame, length: int) -> DataFrame:
-    """HIT rows for signatures of any number of windows: one row a start, combined before the shuffle."""
+    """(WINDOW, from, upto) of stretches that distinct windows (WINDOW, lo, hi, text) share with another document of their
+    signature: one row a start, combined before the shuffle, so a signature may have any number of windows."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,6 +338,15 @@ def grams_as_rows(windows: DataFrame, length: int) -> DataFrame:
     return hits.select(*WINDOW, "from", (F.col("from") + length).alias("upto"))
 
 
+def hot_stretches(windows: DataFrame, length: int) -> DataFrame:
+    """(id, start_at, end_at) of shared stretches of windows whose signatures have any number of them."""
+    # Equal windows of a task become one before anything is shuffled, text and all.
+    distinct = written(windows.groupBy(*WINDOW).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("text").alias("text")), "distinct")
+    hits = grams_as_rows(distinct, length)
+    whole = distinct.filter("lo < hi").select(*WINDOW, F.lit(0).alias("from"), (F.col("n_starts") + (length - 1)).alias("upto"))
+    return windows.select("id", "at", *WINDOW).join(whole.unionByName(hits), WINDOW).select("id", (F.col("at") + F.col("from")).alias("start_at"), (F.col("at") + F.col("upto")).alias("end_at"))
+
+
 def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 160, gram: int | None = None, max_group: int = MAX_GROUP, range_bits: int = RANGE_BITS) -> DataFrame:
     """(id, start_at, end_at) of each longest unbroken run of shared characters of every document.
 
@@ -290,21 +360,14 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, length: int = 160,
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").filter(F.length("text") >= length)
     n_chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     layout = Layout.of(2 * n_chars // (length - gram + 2), range_bits)
-    folder = merged_filter(signatures(own, length, gram, layout), layout)
+    folder = range_files(signatures(own, length, gram, layout), "recurring", lambda: Recurring(max_group), 3)
     windows = written(repeated_windows(own, length, gram, layout, folder), "windows")
-
-    distinct = written(windows.groupBy(*WINDOW).agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "distinct")
-    groups = distinct.groupBy("sig").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.max(F.col("lo") == F.col("hi")).alias("open"))
-    groups = written(groups.filter("a < b AND open AND n > 1").select("sig", "n"), "groups")
-    open_windows = distinct.join(groups, "sig").withColumn("id", F.col("lo"))
-    texts = windows.join(open_windows, [*WINDOW, "id"]).select(*WINDOW, "lo", "hi", "n", "text")
-    local = texts.filter(F.col("n") <= max_group).drop("n").repartition("sig").sortWithinPartitions("sig")
-    hits = local.mapInArrow(lambda batches: compare_groups(batches, length), HIT)
-    if groups.filter(F.col("n") > max_group).head(1):
-        hits = hits.unionByName(grams_as_rows(texts.filter(F.col("n") > max_group), length))
-    whole = distinct.filter("lo < hi").select(*WINDOW, F.lit(0).alias("from"), (F.col("n_starts") + (length - 1)).alias("upto"))
-    stretches = windows.select("id", "at", *WINDOW).join(whole.unionByName(hits), WINDOW).select("id", (F.col("at") + F.col("from")).alias("start_at"), (F.col("at") + F.col("upto")).alias("end_at"))
-    return merged_runs(stretches).withColumnRenamed("id", id_col)
+    cold = windows.filter("NOT hot").select("id", "sig", "off", "at", "text").repartition("sig").sortWithinPartitions("sig")
+    found = cold.mapInArrow(lambda batches: joined_groups(batches, length), f"id {own.schema['id'].dataType.simpleString()}, start_at bigint, end_at bigint")
+    hot = windows.filter("hot")
+    if hot.head(1):
+        found = found.unionByName(hot_stretches(hot, length))
+    return merged_runs(found).withColumnRenamed("id", id_col)
 
 
 def merged_runs(stretches: DataFrame) -> DataFrame:
