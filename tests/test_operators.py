@@ -77,31 +77,78 @@ def test_components(spark, seed):
 
 
 def greedy(sizes, shares):
-    room = {s: share * sum(sizes) for s, share in shares.items()}
-    out = Counter()
-    for n in sorted(sizes, reverse=True):
-        best = max(room, key=lambda s: room[s])
-        room[best] -= n
-        out[best] += n
+    """The plain recurrence over (size, name), one component at a time."""
+    count, target = dict.fromkeys(shares, 0), {s: share * sum(n for n, _ in sizes) for s, share in shares.items()}
+    out = {}
+    for n, name in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        best = max(target, key=lambda s: target[s] - count[s])
+        count[best] += n
+        out[name] = best
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_packing_totals(spark, seed):
+@pytest.mark.parametrize("seed", range(300))
+def test_turns_are_those_of_the_plain_recurrence(seed):
     r = random.Random(seed)
-    sizes = [r.choice((1, 1, 1, 2, 3, 5, 40)) for _ in range(200)]
-    rows = [(f"c{i}q{n}", f"c{i}") for i, k in enumerate(sizes) for n in range(k)]
-    labels = spark.createDataFrame(rows, "query_id string, component string")
-    found = graph.greedy_packing(labels, splits.SHARES).collect()
-    assert len(found) == len({x["component"] for x in found}) == len(sizes)
-    total = Counter()
-    for x in found:
-        total[x["split"]] += sizes[int(x["component"][1:])]
-    want = greedy(sizes, splits.SHARES)
-    assert all(abs(total[s] - want[s]) <= 2 for s in splits.SHARES)
+    sizes = [(k, r.choice((1, 2, 5, 100, 3000))) for k in sorted({r.choice((1, 1, 2, 3, 5, 40, r.randrange(1, 2000))) for _ in range(r.randrange(1, 7))}, reverse=True)]
+    shares = r.choice((splits.SHARES, {"a": 0.5, "b": 0.5}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"x": 1.0}, {"a": 0.25, "b": 0.25, "c": 0.25, "d": 0.25}))
+    runs = graph.turns(sizes, shares, sum(n * c for n, c in sizes))
+    found = [p[i % len(p)] for _, a, b, p in runs for i in range(b - a)]
+    assert found == list(greedy([(n, f"{n}-{i:05}") for n, c in sizes for i in range(c)], shares).values())
+    assert len(runs) <= 6 * len(sizes)
+
+
+@pytest.mark.parametrize("n", [200, 6000])
+def test_greedy_packing_row_by_row(spark, n):
+    r = random.Random(n)
+    sizes = [(r.choice((1, 1, 1, 2, 3, 5, 40)), f"c{r.randrange(10**6)}x{i}") for i in range(n)]
+    rows = [(f"{c}q{i}", c) for k, c in sizes for i in range(k)]
+    labels = spark.createDataFrame(rows, "query_id string, component string").repartition(5)
+    found = {x["component"]: x["split"] for x in graph.greedy_packing(labels, splits.SHARES).collect()}
+    assert found == greedy(sizes, splits.SHARES)
     assert graph.greedy_packing(labels.limit(0), splits.SHARES).count() == 0
 
 
+def test_component_gate(spark):
+    labels = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "y")], "query_id string, component string")
+    with pytest.raises(graph.ComponentError):
+        graph.checked_components(labels)
+    assert graph.checked_components(labels, 0.8) is labels and graph.component_gate(labels).first()["unreachable"]
+
+
+def test_index_and_totality(spark):
+    rows = spark.createDataFrame([("q1", "p1", "train"), ("q2", "p9", "val")], "query_id string, pos_id string, split string")
+    part = spark.createDataFrame([("p1", "train"), ("p2", "val")], "id string, split string")
+    assert {r["split"]: r["n_outside"] for r in splits.positives_outside(rows, part).collect()} == {"train": 0, "val": 1}
+    with pytest.raises(splits.LeakageError):
+        splits.inside_index(rows, part)
+    assert splits.inside_index(rows.filter("split = 'train'"), part).count() == 1
+    assert tuple(splits.totality(part, part.union(part.limit(1))).first()) == (2, 3, 1)
+
+
+def test_sample_is_refilled_by_unflagged_rows(spark):
+    flags = spark.createDataFrame([(f"q{i:02}", i < 3) for i in range(60)], "query_id string, flag boolean")
+    found = Counter(r["flag"] for r in filters.refilled_sample(flags.repartition(3), "flag", 20).collect())
+    assert found == {True: 3, False: 17}
+    many = flags.withColumn("flag", F.col("query_id") < "q40")
+    assert Counter(r["flag"] for r in filters.refilled_sample(many, "flag", 20).collect()) == {True: 10, False: 10}
+
+
+def test_label_scores(spark):
+    cells = [("true", "1"), ("true", "1.0"), ("True", "no"), ("false", "yes"), ("false", "0"), ("true", " "), ("true", None)]
+    rows = {r["variant"]: r.asDict() for r in filters.label_scores(spark.createDataFrame(cells, "predicted string, label string")).collect()}
+    assert [rows["zero"][c] for c in ("n_labeled", "tp", "fp", "fn", "tn", "precision")] == [5, 2, 1, 1, 1, 0.6667]
+    none = {r["variant"]: r["precision"] for r in filters.label_scores(spark.createDataFrame([("false", "0")], "predicted string, label string")).collect()}
+    assert none == {"zero": 0.0, "undefined": None}
+
+
+def test_gazetteer_hits(spark):
+    q = spark.createDataFrame([("a", "Her BRACHOCELE, after."), ("b", "brachoceles"), ("c", "velar-enlargement of late"), ("d", "Velar  enlargement?"), ("e", None), ("f", "")], "query_id string, query string")
+    terms = spark.createDataFrame([("brachocele",), ("velar enlargement",)], "term string")
+    assert {tuple(r) for r in filters.gazetteer_hits(q, terms).collect()} == {("a", "brachocele"), ("d", "velar enlargement")}
+    assert filters.gazetteer_hits(q, terms.limit(0)).count() == 0 and filters.gazetteer_hits(q.limit(0), terms).count() == 0
+
+
 def test_partition(spark):
     ids = spark.createDataFrame([(f"p{i}",) for i in range(1000)], "id string")
     one = dict(map(tuple, splits.partitioned(ids.repartition(7)).collect()))
@@ -218,6 +265,43 @@ def test_vocabulary(spark):
     assert found == {"a": ["MRI", "Nurick scale", "cavolous nephrelitis", "brachocele"], "b": ["Clavien-Dindo", "Clavien-Dindo grade"]}
 
 
+def test_cutoffs(spark):
+    run = spark.createDataFrame([("q1", "z", 0.9), ("q1", "a", 0.8), ("q1", "b", 0.1), ("q2", "z", 0.5)], "query_id string, id string, score double")
+    qrels = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 1), ("q2", "a", 1), ("q2", "z", 0)], "query_id string, id string, grade int")
+    found = {(r["metric"], r["k"]): r["value"] for r in metrics.cutoffs(run, qrels, (1, 5)).collect()}
+    assert found["accuracy", 1] == 0 and found["accuracy", 5] == 0.5 and found["precision", 5] == 0.2 and found["recall", 5] == 0.5 and found["mrr", 10] == 0.25
+    assert metrics.metric_key({"val_cosine_ndcg@10": 1, "val_dot_ndcg@10": 2}) == "val_cosine_ndcg@10" and metrics.metric_key({"NDCG@10": 1}) == "NDCG@10"
+    with pytest.raises(KeyError):
+        metrics.metric_key({"mrr@10": 1})
+
+
+def test_sweep_goes_on_where_it_stopped(tmp_path):
+    from trelliq.plans import evaluation
+
+    asked = []
+    score = lambda p: asked.append(p) or p["a"] + p["b"] / 10
+    rows = evaluation.sweep({"a": [1, 2], "b": [3, 4]}, score, str(tmp_path))
+    assert [r["ndcg"] for r in rows] == [2.4, 2.3, 1.4, 1.3] and rows[0]["gain"] == 0 and len(asked) == 4
+    assert evaluation.sweep({"a": [1, 2], "b": [3, 4]}, score, str(tmp_path)) == rows and len(asked) == 4
+    assert len(evaluation.sweep({"a": [1, 2], "b": [5]}, score, str(tmp_path))) == 2 and len(asked) == 6
+
+
+def test_chunks_and_claims(spark):
+    df = spark.createDataFrame([("x", "One two. Three!  ?? four five six"), ("y", ""), ("z", None)], "answer_id string, text string")
+    assert [(r["answer_id"], r["claim"]) for r in metrics.claims(df).orderBy("answer_id", "at").collect()] == [("x", "One two"), ("x", "Three"), ("x", "four five six")]
+    chunks = metrics.chunked(spark.createDataFrame([("x", " ".join(map(str, range(100))))], "answer_id string, text string")).orderBy("chunk").collect()
+    assert [r["text"].split()[0] for r in chunks] == ["0", "20", "40", "60"] and chunks[-1]["text"].split()[-1] == "99"
+
+
+def test_mining_counters(spark):
+    rows = spark.createDataFrame([("a", "p", ["p", "n1", "n1", "zz", None]), ("b", "p", None), ("c", "p", [])], "query_id string, pos_id string, neg_id array<string>")
+    stripped = negatives.strip_counts(rows, spark.createDataFrame([("p",), ("n1",), ("n2",)], "id string"))
+    assert {tuple(r) for r in stripped.collect()} == {("a", 4, 1, 1, 1), ("b", 0, 0, 0, 0), ("c", 0, 0, 0, 0)}
+    chosen = spark.createDataFrame([("a", False), ("a", True), ("b", True)], "query_id string, mined boolean")
+    (x,) = negatives.mining_counters(stripped, chosen, spark.createDataFrame([("b", 3)], "query_id string, n bigint"), 2).collect()
+    assert tuple(x) == (3, 4, 1, 1, 2, 3, 2, 3, 1.0)
+
+
 def test_config_matrix(spark):
     qrels = spark.createDataFrame([("full", "q1", "a", 1), ("full", "q2", "b", 1), ("part", "q1", "a", 1)], "tier string, query_id string, id string, grade int")
     run = [("one", "full", "q1", "a", 0.9), ("one", "full", "q1", "z", 0.5), ("two", "full", "q1", "z", 0.9), ("two", "full", "q1", "a", 0.5), ("one", "part", "q1", "z", 1.0)]

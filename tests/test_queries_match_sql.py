@@ -43,7 +43,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["greedy_splits", "paired_bootstrap"])
+@pytest.mark.parametrize("name", ["paired_bootstrap"])
 def test_queries_without_sql(spark, name):
     assert entry.queries()[name](spark, SMALL).count() > 0
 

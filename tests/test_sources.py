@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from trelliq import config
 from trelliq.functions.encoders import hashed
-from trelliq.operators.vocab import GENERIC_TERMS
 from trelliq.plans import pipelines
 from trelliq.sources import readers, writers
 from trelliq.sources.tables import table
@@ -51,7 +50,7 @@ def test_vocabulary_and_gazetteer_files(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(b"*NEWRECORD\r\nMH = Abc, Def\r\nMN = C01.1\r\nENTRY = Ghi \xff|T|x\r\n*NEWRECORD\nMN = C02\n*NEWRECORD\nMH = Pain\nENTRY = Ache\n")
     terms = {r["term"]: r["tree_numbers"] for r in readers.vocabulary_file(spark, str(tmp_path / "v.bin")).collect()}
     assert set(terms) == {"abc, def", "def abc", "ghi �"} and terms["def abc"] == ["C01.1"]
-    (tmp_path / "g.txt").write_text(f"Velaromegaly\n abc \n\nvelaromegaly \n{GENERIC_TERMS[0]}\n")
+    (tmp_path / "g.txt").write_text(f"Velaromegaly\n abc \n\nvelaromegaly \nFollow-Up\nfollow up\n")
     assert [r["term"] for r in readers.gazetteer(spark, str(tmp_path / "g.txt")).collect()] == ["velaromegaly"]
 
 
@@ -83,7 +82,64 @@ def test_manifest_report_and_rights(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("c")
 
 
-def test_vectors_are_encoded_once(spark, tmp_path):
+def test_a_session_off_local_mode_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from trelliq import session
+
+    nothing = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing)))
+    own = SimpleNamespace(conf=SimpleNamespace(get=lambda *x: None), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(own)
+
+
+def test_written_tables_are_bucketed_and_deleted(spark, tmp_path):
+    from trelliq.session import delete, discard, hadoop_path, written
+
+    df = written(spark.range(100).withColumn("k", F.col("id") % 7), "t", "k", 4)
+    plan = df.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and df.count() == 100
+    discard(df)
+    files, where = hadoop_path(spark, df._trelliq_table)
+    assert not files.exists(where)
+    (tmp_path / "x").write_text("x")
+    delete(spark, f"file://{tmp_path}/x")
+    delete(spark, f"file://{tmp_path}/x")
+    assert not (tmp_path / "x").exists()
+
+
+def test_places_by_uri(spark, tmp_path):
+    uri = f"file://{tmp_path}"
+    writers.report({"a": 1}, f"{uri}/deep/r.json")
+    assert json.loads((tmp_path / "deep" / "r.json").read_text()) == {"a": 1}
+    assert writers.path_hash(f"{uri}/deep") == writers.path_hash(str(tmp_path / "deep")) != writers.path_hash(f"{uri}/none") is None
+    assert writers.revision(str(tmp_path)) == "unknown"
+
+
+def test_freeze(spark, tmp_path):
+    table(spark, SMALL, "corpus").write.parquet(str(tmp_path / "corpus.parquet"))
+    with pytest.raises(config.DatasetIntegrityError):
+        pipelines.freeze(spark, str(tmp_path), {"corpus": 5}, str(tmp_path / "out"))
+    made = pipelines.freeze(spark, str(tmp_path), {"corpus": 108}, str(tmp_path / "out"))
+    assert list(made["inputs"].values())[0] and not (tmp_path / "corpus.parquet").stat().st_mode & 0o222
+    writers.set_readonly(str(tmp_path / "corpus.parquet"), False)
+
+
+def test_retrieval_folder(spark, tmp_path):
+    spark.createDataFrame([("d1", "x"), ("d2", "y")], "id string, text string").write.json(str(tmp_path / "corpus"))
+    spark.createDataFrame([("q1", "x")], "id string, text string").write.json(str(tmp_path / "queries"))
+    qrels = spark.createDataFrame([("q1", "d1", 2), ("q1", "d2", 5)], readers.QRELS)
+    qrels.write.option("header", True).option("sep", "\t").csv(str(tmp_path / "qrels"))
+    with pytest.warns(UserWarning, match="grades"):
+        corpus, queries, judged = readers.retrieval_folder(spark, str(tmp_path), 2, 1)
+    assert (corpus.count(), queries.count(), judged.columns) == (2, 1, ["query_id", "id", "grade"])
+    with pytest.raises(config.DatasetIntegrityError):
+        readers.retrieval_folder(spark, str(tmp_path), 3)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_vectors_are_encoded_once(spark, tmp_path, scheme):
     seen = []
 
     def encode(missing):
@@ -91,8 +147,8 @@ def test_vectors_are_encoded_once(spark, tmp_path):
         return hashed(missing, 8)
 
     a = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "text string")
-    assert writers.cached_vectors(a, str(tmp_path), "m", encode).count() == 2
-    assert writers.cached_vectors(a.union(spark.createDataFrame([("z",)], "text string")), str(tmp_path), "m", encode).count() == 3
+    assert writers.cached_vectors(a, f"{scheme}{tmp_path}", "m", encode).count() == 2
+    assert writers.cached_vectors(a.union(spark.createDataFrame([("z",)], "text string")), f"{scheme}{tmp_path}", "m", encode).count() == 3
     assert seen == [2, 1]
 
 

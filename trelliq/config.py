@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pathlib import Path
 
@@ -76,3 +77,11 @@ def as_dict(settings) -> dict:
 
 def run_name(settings: Settings) -> str:
     return f"{settings.name}-seed{settings.seed}-budget{settings.splits.budget}"
+
+
+def seed_all(seed: int) -> None:
+    """Seed the generators of the driver's own Python code; queries draw from hashes of their seed and need none."""
+    import numpy as np
+
+    random.seed(seed)
+    np.random.seed(seed % (1 << 32))

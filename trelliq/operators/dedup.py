@@ -63,9 +63,12 @@ def consolidated(rows: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def exact_groups(assigned: DataFrame) -> DataFrame:
-    """(form, n, n_splits, example, straddles) of queries with the same form; ``assigned`` has (query_id, query, split)."""
+    """(form, n, n_splits, example, straddles, splits, query_ids) of queries with the same form; the last two are JSON lists in
+    order, and the ids of a group are part of its row. ``assigned`` has (query_id, query, split)."""
     g = assigned.groupBy(query_form(F.col("query")).alias("form"))
-    return g.agg(F.count("*").alias("n"), F.countDistinct("split").alias("n_splits"), F.min_by("query", "query_id").alias("example")).filter("n > 1").withColumn("straddles", F.col("n_splits") > 1)
+    ids, splits = F.to_json(F.array_sort(F.collect_list("query_id"))), F.to_json(F.array_sort(F.collect_set("split")))
+    found = g.agg(F.count("*").alias("n"), F.countDistinct("split").alias("n_splits"), F.min_by("query", "query_id").alias("example"), splits.alias("splits"), ids.alias("query_ids"))
+    return found.filter("n > 1").withColumn("straddles", F.col("n_splits") > 1)
 
 
 #: Which split keeps a query that stands in several.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trelliq.session import discard, written
@@ -48,44 +48,82 @@ def component_stats(labels: DataFrame) -> DataFrame:
     )
 
 
+class ComponentError(ValueError):
+    """One component covers so much that no split without leaks exists."""
+
+
+def component_gate(labels: DataFrame, smallest_share: float = 0.1, fatal: float = 0.5) -> DataFrame:
+    """(largest_share, unreachable, fatal): whether the largest component exceeds the smallest split, and the bound of no return."""
+    share = component_stats(labels).select("largest_share")
+    return share.select("largest_share", (F.col("largest_share") > smallest_share).alias("unreachable"), (F.col("largest_share") > fatal).alias("fatal"))
+
+
+def checked_components(labels: DataFrame, fatal: float = 0.5) -> DataFrame:
+    """``labels``, or a ComponentError if the largest component covers more than ``fatal`` of all rows."""
+    found = component_gate(labels, fatal=fatal).first()
+    if found["fatal"]:
+        raise ComponentError(f"the largest component covers {found['largest_share']:.1%} of the queries")
+    return labels
+
+
+def turns(sizes: list[tuple[int, int]], shares: dict[str, float], total: int) -> list[tuple[int, int, int, list[str]]]:
+    """(size, from, to, pattern) of a greedy packing of ``sizes`` (size, number of components), from large to small.
+
+    Each component goes to the split furthest below its target, the earlier one on a tie. Where splits take turns, the
+    same turns repeat until a split that waits comes near, so a size needs a few patterns, however many components it has.
+    """
+    order, count = list(shares), dict.fromkeys(shares, 0)
+    target = {s: share * total for s, share in shares.items()}
+
+    def best() -> str:
+        return max(order, key=lambda s: target[s] - count[s])
+
+    out = []
+    for size, number in sizes:
+        at = 0
+        while at < number:
+            pattern, before = [], dict(count)
+            while at + len(pattern) < number and (s := best()) not in pattern:
+                pattern.append(s)
+                count[s] += size
+            # The turns hold as long as all of them stay ahead of the splits that wait.
+            waiting = max((target[s] - count[s] for s in order if s not in pattern), default=float("-inf"))
+            ahead = min(target[s] - before[s] for s in pattern)
+            more = number if waiting == float("-inf") else int(max(0, (ahead - waiting) // size - 1))
+            cycle = best() == pattern[0] and [s for s in sorted(pattern, key=lambda s: (count[s] - target[s], order.index(s)))] == pattern
+            again = min(more, (number - at) // len(pattern) - 1) if cycle else 0
+            again = max(0, again)
+            for s in pattern:
+                count[s] += again * size
+            out.append((size, at, at + len(pattern) * (again + 1), pattern))
+            at += len(pattern) * (again + 1)
+    return out
+
+
 def greedy_packing(labels: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(component, split): components from large to small, each to the split furthest below its target.
+    """(component, split): components from large to small, those of one size in the order of their name, each to the split
+    furthest below its target at that moment.
 
-    All components of one size are placed by counts, so the driver sees one row for each distinct size and never a
-    component: within a size the splits take turns as the deficits say, and components follow in order of their name.
+    Which split has its turn depends on sizes only, so the driver sees one row for each distinct size and never a
+    component; the patterns of turns (see ``turns``) are then laid over the components' places.
     """
     spark = labels.sparkSession
     sizes = written(labels.groupBy("component").agg(F.count("*").alias("n")), "component_sizes")
-    by_size = sizes.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n"))
-    total = labels.count()
-    room = {s: share * total for s, share in shares.items()}
-    order = list(room)
-    runs = []
-    for r in by_size.toLocalIterator():
-        size, left, start = r["n"], r["c"], 0
-        while left:
-            best = max(order, key=lambda s: (room[s], -order.index(s)))
-            second = max((room[s] for s in order if s != best), default=float("-inf"))
-            take = left if second == float("-inf") else min(left, max(1, int((room[best] - second) // size)))
-            room[best] -= take * size
-            runs.append((size, start, start + take, best))
-            start, left = start + take, left - take
-            if left and len(runs) > 1000 and max(room.values()) - min(room.values()) <= 2 * size:
-                part = [left * (i + 1) // len(order) for i in range(len(order))]
-                for s, a, b in zip(order, [0, *part], part):
-                    room[s] -= (b - a) * size
-                    runs.append((size, start + a, start + b, s))
-                left = 0
-    ranked = numbered(sizes)
-    return ranked.join(F.broadcast(spark.createDataFrame(runs, "n bigint, a bigint, b bigint, split string")), "n").filter("place >= a AND place < b").select("component", "split")
-
-
-def numbered(sizes: DataFrame, parts: int = 4096) -> DataFrame:
-    """``sizes`` with ``place``, the place from 0 of a component within its size, by hash; no task holds a whole size."""
-    from pyspark.sql import Window
-
-    own = sizes.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)))
-    before = Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("n", "part").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    place = F.row_number().over(Window.partitionBy("n", "part").orderBy("component"))
-    return own.withColumn("place", place).join(starts, ["n", "part"]).withColumn("place", F.col("start") + F.col("place") - 1).select("component", "n", "place")
+    by_size = [(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator()]
+    patterns = turns(by_size, shares, sum(n * c for n, c in by_size))
+    runs = F.broadcast(spark.createDataFrame(patterns, "n bigint, a bigint, b bigint, pattern array<string>"))
+    placed = numbered(sizes).join(runs, "n").filter("place >= a AND place < b")
+    return placed.select("component", F.get("pattern", F.pmod(F.col("place") - F.col("a"), F.size("pattern")).cast("int")).alias("split"))
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """(component, n, place) with the place from 0 of a component within its size, by name.
+
+    A sort by range gives each task a stretch of the order; counts of the stretches do the rest, so no task holds a size.
+    """
+    line = sizes.orderBy(F.desc("n"), "component").withColumn("i", F.monotonically_increasing_id())
+    line = written(line.select("component", "n", F.shiftright("i", 33).alias("part"), F.col("i").bitwiseAND((1 << 33) - 1).alias("i")), "line")
+    parts = line.groupBy("part", "n").agg(F.count("*").alias("c"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.withColumn("start", before - F.col("first")).select("part", "n", "start")
+    return line.join(starts, ["part", "n"]).select("component", "n", (F.col("start") + F.col("i")).alias("place"))

@@ -73,5 +73,5 @@ def clean_edges(rows: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def in_order(values: str, *by: str) -> Column:
-    """The values of a group as one string, in the order of ``by``."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, values))), lambda x: x[values]), ",")
+    """The values of a group as the JSON text of a list, in the order of ``by``."""
+    return F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(*by, values))), lambda x: x[values]))

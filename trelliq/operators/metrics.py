@@ -33,6 +33,42 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def cutoffs(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 5, 10), ranks: int = 10) -> DataFrame:
+    """(metric, k, value): accuracy, precision and recall at each of ``ks``, ndcg and mrr at ``ranks``, averaged over the graded queries.
+
+    A query may have any number of relevant ids; one without results scores 0."""
+    relevant = qrels.filter("grade > 0").select("query_id", "id")
+    hits = ranked(run, max(ks)).join(relevant, ["query_id", "id"]).groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks))
+    q = relevant.groupBy("query_id").agg(F.count("*").alias("n")).join(hits, "query_id", "left").fillna(0)
+    columns = [x for k in ks for x in ((f"'accuracy', {k}", F.avg((F.col(f"h{k}") > 0).cast("double"))), (f"'precision', {k}", F.avg(F.col(f"h{k}") / k)), (f"'recall', {k}", F.avg(F.col(f"h{k}") / F.col("n"))))]
+    one = q.agg(*(c.alias(f"c{i}") for i, (_, c) in enumerate(columns)))
+    stacked = one.selectExpr(f"stack({len(columns)}, " + ", ".join(f"{name}, c{i}" for i, (name, _) in enumerate(columns)) + ") AS (metric, k, value)")
+    best = per_query(run, qrels, ranks).agg(F.avg("ndcg").alias("ndcg"), F.avg("mrr").alias("mrr")).selectExpr(f"stack(2, 'ndcg', {ranks}, ndcg, 'mrr', {ranks}, mrr) AS (metric, k, value)")
+    return stacked.unionByName(best).select("metric", "k", F.round("value", 9).alias("value"))
+
+
+def metric_key(values: dict, name: str = "") -> str:
+    """The key of nDCG@10 in a dict of metrics, the cosine one first; evaluators have named it differently."""
+    for wanted in (("ndcg@10", "cosine"), ("ndcg@10",)):
+        for key in values:
+            if all(w in key.lower() for w in wanted):
+                return key
+    raise KeyError(f"no nDCG@10 among the metrics of {name}: {sorted(values)}")
+
+
+def claims(rows: DataFrame) -> DataFrame:
+    """(answer_id, at, claim) of the sentences of (answer_id, text) that have a word."""
+    parts = F.filter(F.split("text", r"[.!?]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return rows.select("answer_id", F.posexplode(F.transform(parts, lambda x: F.trim(x))).alias("at", "claim"))
+
+
+def chunked(rows: DataFrame, size: int = 40, step: int = 20) -> DataFrame:
+    """(answer_id, chunk, text) of runs of ``size`` words of (answer_id, text), one each ``step`` words; shorter texts are one."""
+    words = rows.select("answer_id", F.split(F.trim("text"), " +").alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + step, F.lit(1)), F.lit(step))
+    return words.select("answer_id", "w", F.posexplode(starts).alias("chunk", "start")).select("answer_id", "chunk", F.array_join(F.slice("w", F.col("start"), F.lit(size)), " ").alias("text"))
+
+
 def averages(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n_queries"), *(F.round(F.avg(c), 9).alias(c) for c in ("ndcg", "recall", "precision", "mrr", "hit")))
 

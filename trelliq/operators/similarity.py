@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from trelliq.functions.vectors import dot
 from trelliq.operators.skew import key_percentiles
-from trelliq.session import ship
+from trelliq.session import ship, store, written
 
-#: Queries of a search are compared with all rows in blocks of at most so many.
-BLOCK = 4096
+#: Queries of a search are compared with rows in blocks of at most so many, rows in lots of so many or so many bytes.
+BLOCK, LOT_ROWS, CHUNK_BYTES = 1024, 8192, 64 << 20
 
 
 def vector_of(id_col: Column, n: int | Column) -> Column:
@@ -50,63 +50,104 @@ def embedded(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     return placed.join(own, "__at").select(F.col("id").alias("vec_id"), "split", "embedding")
 
 
+def gathered(batches: Iterator[pd.DataFrame], most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, splits, matrix) of rows in lots of bounded size."""
+    held, size = [], 0
+    for pdf in batches:
+        if len(pdf):
+            matrix = np.stack(pdf["embedding"].to_numpy())
+            held.append((pdf["vec_id"].to_numpy(), pdf["split"].to_numpy(), matrix))
+            size += matrix.nbytes
+            if size >= most:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def compared(queries: DataFrame, base: DataFrame, schema: str, work: Callable, apart: bool = False, without: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """``work(query ids, row ids, scores)`` of every block of queries against every lot of rows, with the given schema.
+
+    Both have (vec_id, split, embedding). Queries are a table in the shared folder that each task reads block by block, so
+    neither the driver nor a task ever holds all of them, and the rows are scanned once and not shuffled. Scores of
+    pairs that are left out (a query's own row, or the pairs of ``without`` instead; with ``apart`` rows of its own split)
+    are minus infinity.
+    """
+    spark = base.sparkSession
+    ship(spark)
+    if without is None:
+        asked = queries.select("vec_id", "split", "embedding", F.array("vec_id").alias("hidden"))
+    else:
+        # A query's own list, as long as the row that names it.
+        lists = without.groupBy(F.col("query_id").alias("vec_id")).agg(F.collect_list("id").alias("hidden"))
+        asked = queries.select("vec_id", "split", "embedding").join(lists, "vec_id", "left")
+    asked = written(asked, "queries")
+    folder = asked._trelliq_table
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, path = store(folder)
+        names = sorted(x.path for x in files.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+        for ids, splits, matrix in gathered(batches):
+            for name in names:
+                with files.open_input_file(name) as f:
+                    for part in pq.ParquetFile(f).iter_batches(block):
+                        pdf = part.to_pandas()
+                        own = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                        out = pdf["hidden"].explode().dropna()
+                        for at in range(0, len(ids), LOT_ROWS):
+                            some = ids[at : at + LOT_ROWS]
+                            scores = np.round(own @ matrix[at : at + LOT_ROWS].astype(np.float64).T, 9)
+                            pairs = pd.DataFrame({"row": out.index.to_numpy(), "id": out.to_numpy()}).merge(pd.DataFrame({"id": some, "column": np.arange(len(some))}), on="id") if len(out) else None
+                            if pairs is not None:
+                                scores[pairs["row"].to_numpy(), pairs["column"].to_numpy()] = -np.inf
+                            if apart:
+                                scores[pdf["split"].to_numpy()[:, None] == splits[at : at + LOT_ROWS][None, :]] = -np.inf
+                            yield work(pdf["vec_id"].to_numpy(), some, scores)
+
+    return base.select("vec_id", "split", "embedding").mapInPandas(scan, schema)
+
+
 def top_matches(queries: DataFrame, base: DataFrame, k: int, apart: bool = False, block: int = BLOCK, below: float | None = None, without: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity): the ``k`` rows of ``base`` nearest to each query, itself left out, ties by id.
 
     Both have (vec_id, split, embedding); ``apart`` leaves out rows of the query's own split, ``below`` rows of that
     similarity or more, ``without`` (query_id, id) these pairs instead of the query itself. All of them are left out
-    before rows are ranked, so they take no place among the ``k``. Queries are sent to the rows in blocks of a bounded
-    size; each task keeps k rows a query, and these alone are shuffled.
+    before rows are ranked, so they take no place among the ``k``. Each lot of rows keeps k rows a query (see
+    ``compared``), and these alone are shuffled.
     """
-    spark = base.sparkSession
-    ship(spark)
-    # The table is laid out by size, so the number of blocks follows the stated query set and not the base.
-    schema = f"query_id {queries.schema['vec_id'].dataType.simpleString()}, id {base.schema['vec_id'].dataType.simpleString()}, similarity double"
-    count = queries.count()
-    parts = -(-count // block) or 1
-    out = None
-    for part in range(parts):
-        own = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
-        pdf = own.select("vec_id", "split", "embedding").toPandas()
-        if pdf.empty:
-            continue
-        ids = pdf["vec_id"].to_numpy()
-        rows = pd.DataFrame({"query_id": ids, "row": np.arange(len(ids))})
-        if without is None:
-            pairs = rows.assign(id=ids)
-        else:
-            pairs = rows.merge(without.join(own.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").select("query_id", "id").toPandas(), on="query_id")
-        hidden = pairs[["row", "id"]]
-        shared = spark.sparkContext.broadcast((ids, pdf["split"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(np.float64), hidden))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, splits, matrix, hidden = shared.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                own = pdf["vec_id"].to_numpy()
-                scores = np.round(matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 9)
-                at = hidden.merge(pd.DataFrame({"id": own, "column": np.arange(len(own))}), on="id")
-                scores[at["row"].to_numpy(), at["column"].to_numpy()] = -np.inf
-                if apart:
-                    scores[splits[:, None] == pdf["split"].to_numpy()[None, :]] = -np.inf
-                if below is not None:
-                    scores[scores >= below] = -np.inf
-                # Only rows that reach a query's k-th score are sorted, ties by id.
-                least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
-                row, column = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-                order = np.lexsort((own[column], -scores[row, column], row))
-                row, column = row[order], column[order]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                row, column = row[nth < k], column[nth < k]
-                yield pd.DataFrame({"query_id": ids[row], "id": own[column], "similarity": scores[row, column]})
-
-        found = base.select("vec_id", "split", "embedding").mapInPandas(nearest, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], schema)
+    kinds = [x.schema["vec_id"].dataType.simpleString() for x in (queries, base)]
+
+    def nearest(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        if below is not None:
+            scores[scores >= below] = -np.inf
+        # Only rows that reach a query's k-th score are sorted, ties by id.
+        at = max(0, scores.shape[1] - k)
+        least = np.partition(scores, at, axis=1)[:, at]
+        row, column = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        order = np.lexsort((ids[column], -scores[row, column], row))
+        row, column = row[order], column[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[nth < k], column[nth < k]
+        return pd.DataFrame({"query_id": asked[row], "id": ids[column], "similarity": scores[row, column]})
+
+    found = compared(queries, base, f"query_id {kinds[0]}, id {kinds[1]}, similarity double", nearest, apart, without, block)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return out.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+
+
+def count_at_least(queries: DataFrame, base: DataFrame, least: float, without: DataFrame | None = None) -> DataFrame:
+    """(query_id, n) of the queries with rows of similarity ``least`` or more, pairs of ``without`` left out: only counts leave
+    a task."""
+
+    def count(asked: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        n = (scores >= least).sum(axis=1)
+        return pd.DataFrame({"query_id": asked[n > 0], "n": n[n > 0]})
+
+    found = compared(queries, base, f"query_id {queries.schema['vec_id'].dataType.simpleString()}, n bigint", count, without=without)
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
 def unordered(pairs: DataFrame) -> DataFrame:

@@ -72,8 +72,9 @@ def count_of(name: str, rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
 
 
-def leakage_audit(assigned: DataFrame, partition: DataFrame) -> DataFrame:
-    """(check, violations) of queries (query_id, query, pos_id, neg_id, split) against the passages' partition."""
+def leakage_audit(assigned: DataFrame, partition: DataFrame, *extra: DataFrame) -> DataFrame:
+    """(check, violations) of queries (query_id, query, pos_id, neg_id, split) against the passages' partition, and of the
+    caller's own checks (``extra``, frames of the same columns)."""
     pos = assigned.select("query_id", "split", "pos_id")
     train = assigned.filter("split = 'train'")
     negs = train.select("pos_id", F.explode("neg_id").alias("neg_id")).filter("neg_id IS NOT NULL")
@@ -98,7 +99,7 @@ def leakage_audit(assigned: DataFrame, partition: DataFrame) -> DataFrame:
     checks.append(count_of("train_negatives_equal_to_own_positive", train.filter(F.array_contains("neg_id", F.col("pos_id")))))
     checks.append(count_of("exact_duplicate_queries_across_splits", forms.filter("n > 1")))
     checks.append(count_of("duplicate_query_ids_across_splits", assigned.groupBy("query_id").agg(F.count("*").alias("n")).filter("n > 1")))
-    return reduce(DataFrame.unionByName, checks)
+    return reduce(DataFrame.unionByName, [*checks, *extra])
 
 
 def enforce(audit: DataFrame) -> DataFrame:
@@ -114,3 +115,40 @@ def straddling(assigned: DataFrame) -> DataFrame:
     by_pos = assigned.groupBy("pos_id").agg(F.countDistinct("split").alias("n")).filter("n > 1 AND pos_id IS NOT NULL")
     by_form = assigned.groupBy(query_form(F.col("query")).alias("form")).agg(F.countDistinct("split").alias("n")).filter("n > 1 AND form IS NOT NULL")
     return count_of("shared_positives", by_pos).unionByName(count_of("shared_queries", by_form))
+
+
+def deviation(assigned: DataFrame, largest: DataFrame, shares: dict[str, float] = SHARES, least: float = 0.01) -> DataFrame:
+    """(max_deviation, tolerance, within) of the shares of ``assigned`` (split), which may miss their targets by ``least`` or by the
+    largest component (``largest``: one row of largest_share), as components are never cut."""
+    targets = assigned.sparkSession.createDataFrame(list(shares.items()), "split string, target double")
+    found = assigned.groupBy("split").agg(F.count("*").alias("n"))
+    whole = F.broadcast(found.agg(F.sum("n").alias("all")))
+    away = F.abs(F.coalesce("n", F.lit(0)) / F.col("all") - F.col("target"))
+    worst = targets.join(found, "split", "left").crossJoin(whole).agg(F.max(away).alias("d"))
+    joined = worst.crossJoin(F.broadcast(largest)).withColumn("tolerance", F.greatest(F.lit(least), F.col("largest_share")))
+    return joined.select(F.round("d", 9).alias("max_deviation"), "tolerance", (F.col("d") <= F.col("tolerance")).alias("within"))
+
+
+def totality(corpus: DataFrame, partition: DataFrame) -> DataFrame:
+    """(n_passages, n_placed, n_twice): distinct passages, placed ones, and those placed more than once."""
+    twice = partition.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_twice"))
+    return corpus.agg(F.countDistinct("id").alias("n_passages")).crossJoin(F.broadcast(partition.agg(F.count("*").alias("n_placed")))).crossJoin(F.broadcast(twice))
+
+
+def survivors(rows: DataFrame, floor: int) -> DataFrame:
+    """(survivors, floor, breached): how many rows a run's filters left, against the least it may leave."""
+    return rows.agg(F.count("*").alias("survivors")).select("survivors", F.lit(floor).alias("floor"), (F.col("survivors") < floor).alias("breached"))
+
+
+def positives_outside(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """(split, n_outside): queries (query_id, pos_id, split) whose positive is not in the index (id, split) of their split."""
+    home = rows.join(index.select(F.col("id").alias("pos_id"), F.col("split").alias("home")), "pos_id", "left")
+    return home.groupBy("split").agg(F.count_if(~F.equal_null("home", "split")).alias("n_outside"))
+
+
+def inside_index(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows``, or a LeakageError if a positive is not in ``index`` (id): no metric could count it."""
+    lost = rows.select(F.col("pos_id").alias("id")).join(index.select("id"), "id", "left_anti").count()
+    if lost:
+        raise LeakageError(f"{lost} queries have a positive outside the index")
+    return rows

@@ -113,3 +113,23 @@ def topic_coverage(terms: DataFrame, vocab: DataFrame, top: int = 18) -> DataFra
     hits = terms.withColumn("low", F.lower("term")).join(codes, "low").select("query_id", F.substring("number", 1, 3).alias("code")).distinct()
     labels = F.coalesce(*(F.when(F.col("code") == c, F.lit(name)) for c, name in BRANCHES.items()), F.col("code"))
     return hits.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(top).select("code", labels.alias("label"), "n")
+
+
+def numbers_of(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(query_id, number): the distinct tree numbers of the terms of each id."""
+    own = vocab.select(F.col("term").alias("low"), F.explode("tree_numbers").alias("number"))
+    return terms.withColumn("low", F.lower("term")).join(own, "low").select("query_id", "number").distinct()
+
+
+def categories(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(query_id, categories, subcategories) as JSON lists in order: first letters of the tree numbers, and the first three
+    characters of those in the disease and anatomy trees."""
+    number = F.col("number")
+    sub = F.when(number.substr(1, 1).isin("A", "C") & (F.length("number") >= 3), number.substr(1, 3))
+    return numbers_of(terms, vocab).groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_set(number.substr(1, 1)))).alias("categories"), F.to_json(F.array_sort(F.collect_set(sub))).alias("subcategories"))
+
+
+def uncovered(ids: DataFrame, terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(n_passages, n_uncovered): rows of ``ids`` (query_id) in all, and those with no term in the disease or anatomy trees."""
+    hit = numbers_of(terms, vocab).filter(F.col("number").substr(1, 1).isin("A", "C") & (F.length("number") >= 3)).select("query_id", F.lit(True).alias("hit")).distinct()
+    return ids.join(hit, "query_id", "left").agg(F.count("*").alias("n_passages"), F.count_if(F.col("hit").isNull()).alias("n_uncovered"))

@@ -72,6 +72,13 @@ def hadoop_path(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def store(uri: str):
+    """(file system, path) of a place in the shared storage, for Python code that runs in tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder on whatever storage it lies; nothing happens where there is none."""
     files, where = hadoop_path(spark, path)
@@ -132,6 +139,3 @@ def discard(df: DataFrame) -> None:
         delete(df.sparkSession, path)
         _tables.pop(path, None)
 
-
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    return df

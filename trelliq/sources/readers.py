@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trelliq.config import DatasetIntegrityError
-from trelliq.functions.text import trimmed
-from trelliq.operators.vocab import GENERIC_TERMS, parsed_records, read_records, vocabulary
+from trelliq.functions.text import matching_form, trimmed
+from trelliq.operators.filters import NO_ENTITY
+from trelliq.operators.vocab import parsed_records, read_records, vocabulary
 
 SPLIT_RECORD = "query_id string, query string, split string, pos_id string, pos string, neg_id array<string>, neg array<string>"
 CLEANED_RECORD = "query_id string, query string, pos_id string, pos string, alt_pos_ids array<string>, neg_ids array<string>, negs array<string>, neg_ids_uncapped array<string>"
@@ -33,9 +34,10 @@ def labels_csv(spark: SparkSession, path: str, schema: str = LABELS) -> DataFram
 
 
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """(term): distinct lower-case lines of more than three characters that are no generic terms."""
-    term = F.lower(trimmed(F.col("value")))
-    return spark.read.text(path).select(term.alias("term")).filter((F.length("term") > 3) & ~F.col("term").isin(GENERIC_TERMS)).distinct()
+    """(term): distinct lines of more than three characters in matching form, without mentions that name nothing."""
+    line = trimmed(F.col("value"))
+    terms = spark.read.text(path).filter(F.length(line) > 3).select(matching_form(line).alias("term"))
+    return terms.filter((F.col("term") != "") & ~F.col("term").isin(NO_ENTITY)).distinct()
 
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
@@ -65,3 +67,16 @@ def vector_width(vectors: DataFrame, expected: int, column: str = "embedding") -
     if low is not None and (low, high) != (expected, expected):
         raise DatasetIntegrityError(f"vectors of {low} to {high} numbers, expected {expected}")
     return vectors
+
+
+def retrieval_folder(spark: SparkSession, folder: str, expected_passages: int | None = None, expected_queries: int | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corpus, queries, qrels) of a retrieval benchmark: corpus/ and queries/ as JSON lines (id, text), qrels/ as tab-separated
+    (query-id, corpus-id, score) with a header. Passages and judged queries are counted against what is expected; grades
+    beyond 0 to 2 warn."""
+    corpus, queries = (jsonl(spark, f"{folder}/{name}", "id string, text string") for name in ("corpus", "queries"))
+    qrels, histogram = graded(spark.read.schema(QRELS).option("header", True).option("sep", "\t").csv(f"{folder}/qrels"))
+    checked_count(corpus, "corpus", expected_passages, strict)
+    checked_count(qrels.select("query_id").distinct(), "judged queries", expected_queries, strict)
+    if odd := [r["grade"] for r in histogram.filter("NOT known").limit(5).collect()]:
+        warnings.warn(f"grades beyond 0 to 2: {odd}", stacklevel=2)
+    return corpus, queries, qrels
