@@ -15,6 +15,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path. Every round is written, so a lost executor costs no more than one.
     """
     e = written(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
+    seen = checksum(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         around = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("m", F.least("u", "least")).select("u", "m")
@@ -22,15 +23,21 @@ def component_labels(edges: DataFrame) -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = written(small.filter("u <> v").distinct(), "edges")
-        # Same number of edges and same edges: each node hangs on its component's smallest.
-        if new.count() == e.count() and not new.join(e, ["u", "v"], "left_anti").head(1):
-            discard(new)
-            break
+        # The same edges again: each node hangs on its component's smallest.
+        now = checksum(new)
         discard(e)
         e = new
+        if now == seen:
+            break
+        seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def checksum(edges: DataFrame) -> tuple:
+    """Number of edges and the exact sum of their hashes, from one scan."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def query_components(rows: DataFrame) -> DataFrame:
     """(query_id, component): queries tied by common positives; component is the smallest query_id."""
     own = rows.select("query_id", "pos_id").filter("query_id IS NOT NULL").distinct()

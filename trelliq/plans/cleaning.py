@@ -256,7 +256,7 @@ def anaphoric_examples(spark, folder):
     """Report of six flagged and six saved queries, in the order of their id."""
     rows = kept(spark, folder).select("query_id", "query")
     f = rows.join(filters.anaphoric_flags(rows), "query_id").withColumn("referring", t.has(F.col("query"), t.REFERRING)).filter("referring")
-    kinds = [f.filter(F.col("notebook") == flag).orderBy("query_id").limit(6).select("query_id", F.lit(name).alias("kind"), F.trim("query").alias("query")) for name, flag in (("flagged", True), ("saved", False))]
+    kinds = [f.filter(F.col("notebook") == flag).orderBy("query_id").limit(6).select("query_id", F.lit(name).alias("kind"), t.trimmed(F.col("query")).alias("query")) for name, flag in (("flagged", True), ("saved", False))]
     return kinds[0].unionByName(kinds[1])
 
 
@@ -468,7 +468,7 @@ SQL = {
         SELECT query_id, is_anaphoric FROM r WHERE CASE WHEN is_anaphoric THEN nth <= 50 ELSE nth <= 100 - least(50, (SELECT count(*) FROM flagged WHERE is_anaphoric)) END""",
     "degenerate_stats": f"WITH {s.KEPT} SELECT count(*) AS n_before, count(*) FILTER (WHERE {s.n_words('pos')} < 8) AS n_dropped, count(*) FILTER (WHERE {s.n_words('pos')} >= 8) AS n_after FROM kept",
     "degenerate_examples": f"WITH {s.KEPT} SELECT query_id, pos, {s.n_words('pos')} AS n_words FROM kept WHERE {s.n_words('pos')} < 8 ORDER BY query_id LIMIT 10",
-    "anaphoric_examples": f"""WITH {s.KEPT}, f AS (SELECT query_id, trim(query) AS query, {N_RULE} AS flag FROM kept WHERE {s.has("query", t.REFERRING)}),
+    "anaphoric_examples": f"""WITH {s.KEPT}, f AS (SELECT query_id, {s.trimmed("query")} AS query, {N_RULE} AS flag FROM kept WHERE {s.has("query", t.REFERRING)}),
         r AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY query_id) AS nth FROM f) SELECT query_id, CASE WHEN flag THEN 'flagged' ELSE 'saved' END AS kind, query FROM r WHERE nth <= 6""",
     "term_categories": f"""WITH {TERMS}, h AS (SELECT DISTINCT query_id, number FROM (SELECT query_id, unnest(numbers) AS number FROM terms JOIN vocab ON vocab.term = lower(terms.term)))
         SELECT query_id, to_json(list_sort(list_distinct(list(number[1]))))::VARCHAR AS categories, to_json(list_sort(list_distinct(list(CASE WHEN number[1] IN ('A', 'C') AND length(number) >= 3 THEN number[1:3] END))))::VARCHAR AS subcategories

@@ -234,7 +234,7 @@ def training_stats(spark, folder):
 
 def split_records(spark, folder):
     """The exported records of assigned queries: texts in place of ids, lists as JSON text."""
-    rows = assigned(spark, folder).select("query_id", F.trim("query").alias("query"), "split", "pos_id", "neg_id")
+    rows = assigned(spark, folder).select("query_id", t.trimmed(F.col("query")).alias("query"), "split", "pos_id", "neg_id")
     corpus = table(spark, folder, "corpus")
     listed = integrity.clean_edges(rows, corpus)
     lists = negatives.capped(listed, BUDGET)
@@ -578,7 +578,7 @@ SQL = {
     "training_stats": f"WITH {s.CLEAN}, c AS (SELECT query_id, count(*) AS k FROM clean GROUP BY 1) SELECT count(*) FILTER (WHERE coalesce(k, 0) >= 4) AS n_rows, count(*) FILTER (WHERE coalesce(k, 0) < 4) AS n_dropped FROM kept LEFT JOIN c USING (query_id)",
     "split_records": f"""WITH {ASSIGNED}, cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('590:' || query_id || ':' || neg_id)) AS nth FROM clean) WHERE nth <= 8),
         l AS (SELECT query_id, to_json(list(neg_id ORDER BY place))::VARCHAR AS neg_ids, to_json(list(c.text ORDER BY place))::VARCHAR AS negs FROM cap JOIN corpus c ON c.id = neg_id GROUP BY 1), u AS (SELECT query_id, to_json(list(neg_id ORDER BY place))::VARCHAR AS neg_ids_uncapped FROM clean GROUP BY 1)
-        SELECT query_id, trim(query) AS query, a.split, a.pos_id, c.text AS pos, coalesce(neg_ids, '[]') AS neg_ids, coalesce(negs, '[]') AS negs, coalesce(neg_ids_uncapped, '[]') AS neg_ids_uncapped
+        SELECT query_id, {s.trimmed("query")} AS query, a.split, a.pos_id, c.text AS pos, coalesce(neg_ids, '[]') AS neg_ids, coalesce(negs, '[]') AS negs, coalesce(neg_ids_uncapped, '[]') AS neg_ids_uncapped
         FROM assigned a JOIN corpus c ON c.id = a.pos_id LEFT JOIN l USING (query_id) LEFT JOIN u USING (query_id)""",
     "corpus_records": f"""WITH {INHERITED}, o AS (SELECT pos_id AS id, min(split) AS split FROM inh GROUP BY 1), u AS (SELECT DISTINCT neg_id AS id FROM clean)
         SELECT c.id, c.text, coalesce(o.split, CASE WHEN u.id IS NOT NULL THEN 'shared' END, 'unused') AS split, {s.n_tokens("c.text")} AS token_count FROM corpus c LEFT JOIN o ON o.id = c.id LEFT JOIN u ON u.id = c.id""",

@@ -67,7 +67,7 @@ def run_components(spark: SparkSession, corpus: DataFrame, merged: DataFrame, ve
     ready = written(with_lists(with_lists(named, capped, "place"), pruned, "place", name="neg_ids_uncapped"), "ready")
     labels = written(graph.query_components(ready.select("query_id", F.explode("alt_pos_ids").alias("pos_id"))), "labels")
     split = written(graph.checked_components(labels).join(graph.greedy_packing(labels, shares), "component").select("query_id", "split"), "split")
-    rows = ready.join(split, "query_id").select("query_id", F.trim("query").alias("query"), "split", "pos_id", "alt_pos_ids", "neg_ids_uncapped")
+    rows = ready.join(split, "query_id").select("query_id", t.trimmed(F.col("query")).alias("query"), "split", "pos_id", "alt_pos_ids", "neg_ids_uncapped")
     lists = capped.join(split.select("query_id"), "query_id", "left_semi")
     final = written(records.with_lists(rows, lists, corpus, "place").select("query_id", "query", "split", "pos_id", "pos", "alt_pos_ids", "neg_ids", "negs", "neg_ids_uncapped"), "final")
     used = final.select(F.explode("neg_ids_uncapped").alias("neg_id"))
@@ -146,7 +146,7 @@ def run_partitions(spark: SparkSession, corpus: DataFrame, merged: DataFrame, ve
     train = assigned.filter("split = 'train'").select("query_id", "pos_id", "split")
     more = written(top_up(train, hardest, inside, vectors, s.budget, min(s.mining_cap, f.false_negative_threshold)), "mined")
     chosen = written(hardest.unionByName(more.withColumn("rank", F.col("rank") + s.budget)), "chosen")
-    rows = with_lists(assigned.select("query_id", F.trim("query").alias("query"), "split", "pos_id"), ranked, "place", "left", "neg_ids_uncapped").withColumn("alt_pos_ids", F.array("pos_id"))
+    rows = with_lists(assigned.select("query_id", t.trimmed(F.col("query")).alias("query"), "split", "pos_id"), ranked, "place", "left", "neg_ids_uncapped").withColumn("alt_pos_ids", F.array("pos_id"))
     final = written(records.with_lists(rows, chosen, corpus, "rank").select("query_id", "query", "split", "pos_id", "pos", "alt_pos_ids", "neg_ids", "negs", "neg_ids_uncapped"), "final")
     steps = [("00_raw", merged, integrity.edges(merged)), ("01_structural", kept, integrity.clean_edges(kept, corpus)), ("02_named", named, integrity.clean_edges(named, corpus)),
              ("03_assigned", assigned, listed), ("04_false_negative", assigned, screened), ("05_own_partition", assigned, ranked), ("06_hardest", assigned, hardest), ("07_mined", final, chosen)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trelliq.operators.skew import heavy_keys, key_figures, key_percentiles
-from trelliq.plans import cleaning, evaluation, mining
+from trelliq.plans import artifacts, cleaning, evaluation, mining
 from trelliq.sources.tables import table
 
 
@@ -28,9 +28,9 @@ def p5_score_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("neg_id"), "share", F.round("percentile", 9).alias("similarity"))
 
 
-QUERIES = cleaning.QUERIES | mining.QUERIES | evaluation.QUERIES | {f.__name__: f for f in (p5_found, p5_figures, p5_score_percentiles)}
+QUERIES = cleaning.QUERIES | mining.QUERIES | evaluation.QUERIES | artifacts.QUERIES | {f.__name__: f for f in (p5_found, p5_figures, p5_score_percentiles)}
 
-SQL = cleaning.SQL | mining.SQL | evaluation.SQL | {
+SQL = cleaning.SQL | mining.SQL | evaluation.SQL | artifacts.SQL | {
     "p5_found": """
         WITH e AS (SELECT unnest(neg_id) AS neg_id FROM merged)
         SELECT neg_id FROM e WHERE neg_id IS NOT NULL GROUP BY 1
