@@ -30,11 +30,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trelliq.llm.batches import by_size, by_text
 from trelliq.llm.bloom import Layout, fraction, opened, range_files, range_of, scattered
 from trelliq.llm.shared_spans import spread
 from trelliq.session import ship, written
@@ -91,7 +91,7 @@ def hashed_sets(df: DataFrame, n: int) -> DataFrame:
 
         known: dict[str, int] = {}
         for whole in batches:
-            for batch in by_size(whole, pa.compute.binary_length(whole.column(1)).to_numpy(), 1 << 20):
+            for batch in by_text(whole, 1):
                 flat, sizes = feature_sets(batch.column(1).to_pylist(), n, known)
                 ends = np.r_[0, np.cumsum(sizes)]
                 some = pa.array(np.flatnonzero(sizes))
@@ -102,14 +102,6 @@ def hashed_sets(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(build, "id string, key binary, features array<bigint>")
 
 
-def by_size(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose sizes sum to at most ``most``, or of one row."""
-    lot = (np.cumsum(sizes) - sizes) // most
-    cuts = [*np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]]), len(sizes)] if len(sizes) else []
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(int(a), int(b - a))
-
-
 # Rarity
 
 
