@@ -16,6 +16,7 @@ from trelliq.llm.words import shingles, words
 from trelliq.session import written
 
 TRAIN, EVAL = 1, 2
+SKETCH_WORDS = 2
 
 
 def at_least(share: float, n: Column) -> Column:
@@ -23,28 +24,44 @@ def at_least(share: float, n: Column) -> Column:
     return F.ceil(F.lit(share) * n - F.lit(1e-9))
 
 
+def sketch(items: str, word: int) -> Column:
+    """64 bits of a set: each of its items flips one bit of one of SKETCH_WORDS words; the distance of two sketches never exceeds
+    that of the sets."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def flipped(bits: Column, item: Column) -> Column:
+        at = F.pmod(F.xxhash64(item, F.lit(7)), F.lit(64 * SKETCH_WORDS)).cast("int")
+        return bits.bitwiseXOR(F.when(F.floor(at / 64) == word, F.call_function("shiftleft", one, at % 64)).otherwise(zero))
+
+    return F.aggregate(items, zero, flipped)
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(eval_key, train_key) of similar sets across sides; ``sets`` has (key, items array<string>, sides).
 
-    Prefix rows hold a word's hash, the key, the size and the position, so a long record sends a number of rows but no
-    copies of itself; the words are fetched once for each pair that the filters leave.
+    Prefix rows hold a word's hash, the key, the size, the position and a sketch, so a long record sends a number of rows but
+    no copies of itself; the words are fetched once for each pair that the filters leave.
     """
     counts = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
     items = sets.select("key", F.explode("items").alias("item")).join(counts, "item")
     ordered = items.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
-    ordered = written(sets.select("key", "sides").join(ordered, "key").select("key", "sides", F.transform("o", lambda x: x["item"]).alias("items"), F.size("o").alias("n")), "ordered")
+    ordered = sets.select("key", "sides").join(ordered, "key").select("key", "sides", F.transform("o", lambda x: x["item"]).alias("items"), F.size("o").alias("n"))
+    words_of = [f"s{i}" for i in range(SKETCH_WORDS)]
+    ordered = written(ordered.select("*", *(sketch("items", i).alias(w) for i, w in enumerate(words_of))), "ordered")
 
     def prefixes(side: int) -> DataFrame:
         p = (F.col("n") - at_least(threshold, F.col("n")) + 1).cast("int")
         rows = ordered.filter(F.col("sides").bitwiseAND(side) != 0)
-        return rows.select("key", "n", F.posexplode(F.slice("items", F.lit(1), p)).alias("pos", "item")).select("key", "n", "pos", F.xxhash64("item").alias("item"))
+        return rows.select("key", "n", *words_of, F.posexplode(F.slice("items", F.lit(1), p)).alias("pos", "item")).withColumn("item", F.xxhash64("item"))
 
     e, t = prefixes(EVAL).alias("e"), prefixes(TRAIN).alias("t")
-    reach = F.least(F.col("e.n") - F.col("e.pos"), F.col("t.n") - F.col("t.pos"))
+    reach, both = F.least(F.col("e.n") - F.col("e.pos"), F.col("t.n") - F.col("t.pos")), F.col("e.n") + F.col("t.n")
+    apart = sum((F.bit_count(F.col(f"e.{w}").bitwiseXOR(F.col(f"t.{w}"))) for w in words_of), F.lit(0))
     pairs = (
         e.join(t, F.col("e.item") == F.col("t.item"))
         .filter((F.col("e.n") >= at_least(threshold, F.col("t.n"))) & (F.col("t.n") >= at_least(threshold, F.col("e.n"))))
-        .filter(reach >= at_least(threshold / (1 + threshold), F.col("e.n") + F.col("t.n")))
+        .filter(reach >= at_least(threshold / (1 + threshold), both))
+        .filter(apart <= F.lit((1 - threshold) / (1 + threshold)) * both + F.lit(1e-9))
         .select(F.col("e.key").alias("eval_key"), F.col("t.key").alias("train_key"))
         .distinct()
     )
