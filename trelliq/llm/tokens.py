@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from trelliq.llm.batches import by_text
 from trelliq.session import ship
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,8 +30,9 @@ TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public pattern that splits text before merging.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-#: A worker keeps the ids of at most so many words, and forgets all of them beyond that.
-MAX_WORDS = 400_000
+#: A worker keeps the ids of the last so many words, and of those met again among as many before them; likewise the
+#: stability of so many pairs of tokens.
+MAX_WORDS = 100_000
 
 
 class BytePairTrie:
@@ -40,6 +42,7 @@ class BytePairTrie:
         self.ranks, self.max_words = ranks, max_words
         self.endings = {token[i:] for token in ranks for i in range(len(token))}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.stable_pairs: dict[tuple[bytes, bytes], bool] = {}
         self.spines: dict[bytes, tuple[list, list]] = {}
 
@@ -74,7 +77,7 @@ class BytePairTrie:
                     # The merge further left goes first when both have the same rank.
                     if merged is not None and merged < x_used and merged <= y_used:
                         found = False
-            if len(self.stable_pairs) > 4 * self.max_words:
+            if len(self.stable_pairs) > self.max_words:
                 self.stable_pairs.clear()
             self.stable_pairs[key] = found
         return found
@@ -111,8 +114,12 @@ class BytePairTrie:
             split = [SPLIT.findall(t) if t else [] for t in some]
             new = {w for s in split for w in s} - self.known.keys()
             if len(self.known) + len(new) > self.max_words:
-                self.known.clear()
+                self.before, self.known = self.known, {}
                 new = {w for s in split for w in s}
+            if self.before:
+                again = new & self.before.keys()
+                self.known.update((w, self.before[w]) for w in again)
+                new -= again
             self.learn(new)
             out += [b"".join(map(self.known.__getitem__, s)) for s in split]
         return out
@@ -148,7 +155,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKEN
     path = f"{tokenizers}/{vocabulary}.tiktoken"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_text(whole, 1)):
             found = encoder(path).encode(batch.column(1).to_pylist())
             at = pa.array([0, *accumulate(len(x) // 4 for x in found)], pa.int32())
             flat = pa.array(np.frombuffer(b"".join(found), np.int32))
@@ -164,7 +171,7 @@ def token_counts(df: DataFrame, text_col: str, keep: list[str], tokenizers: str
     path = f"{tokenizers}/{vocabulary}.tiktoken"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_text(whole, len(keep))):
             found = encoder(path).encode(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([len(x) // 4 for x in found], pa.int64())], names=[*keep, "n_tokens"])
 
