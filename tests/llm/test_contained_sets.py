@@ -78,3 +78,16 @@ def test_records_with_just_a_common_passage_do_not_meet():
     digits = [np.where(np.arange(len(x)) < 60, 12, 0).astype(np.uint8) for x in sets]
     assert not any(meet((sets[i], sets[j]), (digits[i], digits[j]), 0.5) for i in range(20) for j in range(i))
     assert all(meet((sets[i], sets[20]), (digits[i], digits[20]), 0.5) for i in range(20))
+
+
+def test_words_are_runs_of_letters_and_digits():
+    import sys
+    import unicodedata
+
+    from trelliq.llm.near_duplicates import WORD, Words, feature_sets
+
+    odd = [c for i in range(sys.maxunicode + 1) if (c := chr(i)) and bool(WORD.fullmatch(c)) != (unicodedata.category(c)[0] in "LN")]
+    assert not odd
+    known = Words()
+    flat, sizes = feature_sets(["a b c", "a_b-c", "", "b a", "A b c d"], 3, known)
+    assert sizes.tolist() == [1, 1, 0, 0, 2] and flat[0] == flat[1] and len(set(flat.tolist())) == 3

@@ -23,14 +23,14 @@ Equal sets are one class before anything is joined.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +50,30 @@ SUBSETS = 24
 SKETCH_WORDS = 4
 #: Features that are signed at once.
 CHUNK = 1 << 18
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+WORD = re.compile(r"[^\W_]+")
 KEEP_WORDS = 200_000
 
 
 # Feature sets
 
 
-def word_hash(word: str, known: dict[str, int]) -> int:
-    import xxhash
+class Words(dict):
+    """Hashes of the words met so far, forgotten when there are KEEP_WORDS of them."""
 
-    if len(known) >= KEEP_WORDS:
-        known.clear()
-    known[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return found
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
 
 
-def feature_sets(texts: list[str], n: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def feature_sets(texts: list[str], n: int, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """(features, sizes): the sorted distinct 64-bit hashes of the runs of ``n`` words of each lower-cased text, end to end."""
-    lists = [[known[w] if w in known else word_hash(w, known) for w in WORD.findall(t)] for t in texts]
+    lists = [WORD.findall(t) for t in texts]
     counts = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.uint64, int(counts.sum()))
     runs = np.maximum(counts - n + 1, 0)
     row = np.repeat(np.arange(len(texts)), runs)
     at = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(np.cumsum(counts) - counts, runs)
@@ -89,7 +92,7 @@ def hashed_sets(df: DataFrame, n: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known: dict[str, int] = {}
+        known = Words()
         for whole in batches:
             for batch in by_text(whole, 1):
                 flat, sizes = feature_sets(batch.column(1).to_pylist(), n, known)
@@ -182,7 +185,8 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, digits: np.ndarray, threshol
     """
     own, mixed = np.repeat(np.arange(len(sizes)), sizes), spread(flat.view(np.uint64))
     is_common = digits > np.ceil(np.log2(common))
-    order = np.lexsort((mixed, digits, own))
+    # By rarity, then hash; features of a set come in one order everywhere, which settles the ties of the shortened hash.
+    order = np.lexsort(((digits.astype(np.uint64) << np.uint64(57)) | (mixed >> np.uint64(7)), own))
     starts = np.cumsum(sizes) - sizes
     place = np.arange(len(flat)) - np.repeat(starts, sizes)
     least = least_overlap(threshold, sizes)
