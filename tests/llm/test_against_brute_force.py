@@ -209,6 +209,17 @@ def test_overlap_report_of_a_hot_class(spark):
     assert report == counted(set(rows(cross_split_overlaps(own, both, 1, 0.8), "eval_id", "train_id", "via")), set(rows(both, "query_id", "split", "source")))
 
 
+@pytest.mark.parametrize("hot", [0, 3, 8, 1000])
+def test_overlap_report_of_records_with_many_passages(spark, hot):
+    """Several passages a record, a few of them in most: each pair counts once, whichever passages it shares."""
+    r = random.Random(hot)
+    given = [(f"q{i}", f"text {i}", p) for i in range(60) for p in {r.choice(("h1", "h1", "h2", f"p{r.randrange(20)}")) for _ in range(r.randrange(1, 5))}]
+    splits = [(f"q{i}", r.choice(("train", "val", "test")), r.choice(("a", None))) for i in range(60)]
+    own, sides = spark.createDataFrame(given, "query_id string, query string, pos_id string"), spark.createDataFrame(splits, "query_id string, split string, source string")
+    report = {(s, o, v): (k, m) for s, o, v, k, m in rows(overlap_report(own, sides, 2, 0.9, hot), "split", "source", "via", "n_queries", "n_pairs")}
+    assert report == counted(brute.split_overlaps(given, [x[:2] for x in splits], 2, 0.9), set(splits))
+
+
 def test_long_records_send_rows_and_no_copies(spark):
     """The prefix rows of records of 10,000 words are as wide as those of short ones."""
     r = random.Random(4)
@@ -247,8 +258,9 @@ def test_overlaps_awkward(spark, n, threshold):
     found = cross_split_overlaps(a.repartition(3), b, n, threshold)
     assert once(found, "eval_id", "train_id", "via") == brute.split_overlaps(records, splits, n, threshold)
     wanted = brute.split_overlaps(records, splits, n, threshold)
-    report = {(s, o, v): (k, m) for s, o, v, k, m in rows(overlap_report(a, b, n, threshold), "split", "source", "via", "n_queries", "n_pairs")}
-    assert report == counted(wanted, {(q_, s, None) for q_, s in splits})
+    for hot in (1000, 2, 0):
+        report = {(s, o, v): (k, m) for s, o, v, k, m in rows(overlap_report(a, b, n, threshold, hot), "split", "source", "via", "n_queries", "n_pairs")}
+        assert report == counted(wanted, {(q_, s, None) for q_, s in splits})
 
 
 def test_overlaps_empty(spark):

@@ -17,6 +17,8 @@ from trelliq.session import written
 
 TRAIN, EVAL = 1, 2
 SKETCH_WORDS = 2
+#: A passage of more classes of records than this is hot.
+HOT = 1000
 
 
 def at_least(share: float, n: Column) -> Column:
@@ -80,8 +82,9 @@ def sides_of(splits: DataFrame, train: str = "train", evaluation: tuple[str, ...
     return splits.select("query_id", side.alias("side")).filter("query_id IS NOT NULL AND side IS NOT NULL").distinct()
 
 
-def overlap_classes(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members(via, key, query_id, side), pairs(via, eval_key, train_key) of classes that overlap.
+def overlap_classes(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, near, kinds): members(via, key, query_id, side), near(eval_key, train_key) of similar classes of queries, and
+    kinds(key, sides, pos_id) of the classes by passages.
 
     A class is a set of words for via 'query' and a set of pos_ids for via 'pos_id'. So records that are alike, or that
     name the same hot passage, are one class, and a pair of classes stands for all pairs of their members. A query_id
@@ -101,12 +104,17 @@ def overlap_classes(records: DataFrame, splits: DataFrame, words_in_shingle: int
     placed = written(named.groupBy("query_id", "side").agg(F.array_sort(F.collect_set("pos_id")).alias("pos_ids")).withColumn("key", F.unhex(F.md5(F.to_json("pos_ids")))), "named")
     kinds = placed.groupBy("key").agg(F.first("pos_ids").alias("pos_ids"), F.expr("bit_or(side)").alias("sides")).select("key", "sides", F.explode("pos_ids").alias("pos_id"))
 
+    members = worded.select(F.lit("query").alias("via"), "key", "query_id", "side").unionByName(placed.select(F.lit("pos_id").alias("via"), "key", "query_id", "side"))
+    return members, near, kinds
+
+
+def sharing(kinds: DataFrame, value: str = "pos_id") -> DataFrame:
+    """(eval_key, train_key) of the classes of ``kinds`` (key, sides, value) across sides that have a value in common."""
+
     def of(side: int, name: str) -> DataFrame:
-        return kinds.filter(F.col("sides").bitwiseAND(side) != 0).select("pos_id", F.col("key").alias(name))
+        return kinds.filter(F.col("sides").bitwiseAND(side) != 0).select(value, F.col("key").alias(name))
 
-    shared = of(EVAL, "eval_key").join(of(TRAIN, "train_key"), "pos_id").select("eval_key", "train_key").distinct()
-    members = worded.select(F.lit("query").alias("via"), "key", "query_id", "side").unionByName(placed.select(F.lit("pos_id").alias("via"), "key", "query_id", "side"))
-    return members, near.select(F.lit("query").alias("via"), "eval_key", "train_key").unionByName(shared.select(F.lit("pos_id").alias("via"), "eval_key", "train_key"))
+    return of(EVAL, "eval_key").join(of(TRAIN, "train_key"), value).select("eval_key", "train_key").distinct()
 
 
 def cross_split_overlaps(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -116,7 +124,8 @@ def cross_split_overlaps(records: DataFrame, splits: DataFrame, words_in_shingle
     records whose query has too few words have no match by query; repeated rows count once; records without a split are
     left out. Extra columns are ignored, whatever their names. Empty tables give an empty frame.
     """
-    members, pairs = overlap_classes(records, splits, words_in_shingle, threshold)
+    members, near, kinds = overlap_classes(records, splits, words_in_shingle, threshold)
+    pairs = near.select(F.lit("query").alias("via"), "eval_key", "train_key").unionByName(sharing(kinds).select(F.lit("pos_id").alias("via"), "eval_key", "train_key"))
 
     def side(n: int, key: str, name: str) -> DataFrame:
         return members.filter(F.col("side") == n).select("via", F.col("key").alias(key), F.col("query_id").alias(name))
@@ -125,16 +134,41 @@ def cross_split_overlaps(records: DataFrame, splits: DataFrame, words_in_shingle
     return found.filter("eval_id <> train_id").select("eval_id", "train_id", "via")
 
 
-def overlap_report(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def partners_by_passage(kinds: DataFrame, train: DataFrame, hot: int = HOT) -> DataFrame:
+    """(key, n): training records that share a passage with an evaluation class, each counted once; ``train`` has (key, n).
+
+    A passage of more than ``hot`` classes is hot. Classes with the same hot passages count as one there, so a record that
+    names a hot passage beside others is not paired with all records that do so too; pairs by the other passages are
+    then formed and count where the two share no hot one."""
+    often = kinds.groupBy("pos_id").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("pos_id", F.lit(True).alias("hot"))
+    marked = written(kinds.join(often, "pos_id", "left"), "marked")
+    hots = F.array_sort(F.collect_set(F.when(F.col("hot"), F.col("pos_id"))))
+    heads = written(marked.groupBy("key").agg(F.first("sides").alias("sides"), hots.alias("hots")).withColumn("head", F.unhex(F.md5(F.to_json("hots")))), "heads")
+    named = heads.filter("size(hots) > 0").groupBy(F.col("head").alias("key")).agg(F.first("hots").alias("hots"), F.expr("bit_or(sides)").alias("sides"))
+    met = written(sharing(named.select("key", "sides", F.explode("hots").alias("pos_id"))), "met")
+    of_head = heads.join(train, "key").groupBy(F.col("head").alias("train_key")).agg(F.sum("n").alias("n"))
+    by_hot = met.join(of_head, "train_key").groupBy(F.col("eval_key").alias("head")).agg(F.sum("n").alias("n"))
+    by_hot = heads.filter(F.col("sides").bitwiseAND(EVAL) != 0).join(by_hot, "head").select("key", "n")
+    head = heads.select("key", "head")
+    rare = sharing(marked.filter("hot IS NULL").select("key", "sides", "pos_id"))
+    rare = rare.join(head.select(F.col("key").alias("eval_key"), F.col("head").alias("a")), "eval_key").join(head.select(F.col("key").alias("train_key"), F.col("head").alias("b")), "train_key")
+    rare = rare.join(met.select(F.col("eval_key").alias("a"), F.col("train_key").alias("b")), ["a", "b"], "left_anti")
+    by_rare = rare.join(train.withColumnRenamed("key", "train_key"), "train_key").groupBy(F.col("eval_key").alias("key")).agg(F.sum("n").alias("n"))
+    return by_hot.unionByName(by_rare).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def overlap_report(records: DataFrame, splits: DataFrame, words_in_shingle: int = 5, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
     """(split, source, via, n_queries, n_pairs): overlaps counted by evaluation split and source (null source kept).
 
-    The counts are products of class sizes, so no pair of records is formed, however many records a class has. Defined
-    for the same awkward rows as ``cross_split_overlaps``.
+    The counts are sums and products of class sizes, so no pair of records is formed, however many records a class or a
+    passage has. Defined for the same awkward rows as ``cross_split_overlaps``.
     """
-    members, pairs = overlap_classes(records, splits, words_in_shingle, threshold)
-    members, pairs = written(members, "members"), written(pairs, "classes")
-    train = members.filter(F.col("side") == TRAIN).groupBy("via", F.col("key").alias("train_key")).agg(F.count("*").alias("n"))
-    partners = pairs.join(train, ["via", "train_key"]).groupBy("via", F.col("eval_key").alias("key")).agg(F.sum("n").alias("n"))
+    members, near, kinds = overlap_classes(records, splits, words_in_shingle, threshold)
+    members = written(members, "members")
+    train = written(members.filter(F.col("side") == TRAIN).groupBy("via", "key").agg(F.count("*").alias("n")), "train")
+    by_query = near.join(train.filter("via = 'query'").select(F.col("key").alias("train_key"), "n"), "train_key").groupBy(F.col("eval_key").alias("key")).agg(F.sum("n").alias("n"))
+    by_passage = partners_by_passage(kinds, train.filter("via = 'pos_id'").select("key", "n"), hot)
+    partners = by_query.withColumn("via", F.lit("query")).unionByName(by_passage.withColumn("via", F.lit("pos_id")))
     # A record on both sides is no partner of its own.
     both = members.filter(F.col("side") == TRAIN).select("via", "key", "query_id", F.lit(1).alias("itself"))
     held = members.filter(F.col("side") == EVAL).drop("side").join(partners, ["via", "key"]).join(both, ["via", "key", "query_id"], "left")
