@@ -63,17 +63,17 @@ def search(edges: DataFrame, level: int, hops: int = HOPS) -> DataFrame:
     looks = written(both.groupBy("node").agg(F.max(rank("dst")).alias("to")).select("node", F.col("to.node").alias("to")), "looks", "node")
     back = looks.select(F.col("node").alias("to"), F.col("to").alias("back"))
     seeds = looks.join(back, "to").filter((F.col("back") == F.col("node")) & (rank("node") > rank("to"))).select("node", F.col("node").alias("label"))
-    labelled = frontier = written(seeds, "frontier", "node")
+    labelled = frontier = written(seeds, "frontier")
     parts = [frontier]
     for _ in range(hops):
         reached = both.join(frontier, "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
-        frontier = written(reached.join(labelled, "node", "left_anti"), "frontier", "node")
+        frontier = written(reached.join(labelled, "node", "left_anti"), "frontier")
         if not frontier.head(1):
             discard(frontier)
             break
         parts.append(frontier)
         labelled = labelled.unionByName(frontier)
-    nodes = written(looks.join(labelled, "node", "left").select("node", F.coalesce("label", "to").alias("label")), "labels", "node")
+    nodes = written(looks.join(labelled, "node", "left").select("node", F.coalesce("label", "to").alias("label")), "labels")
     for part in (both, looks, *parts):
         discard(part)
     return nodes
