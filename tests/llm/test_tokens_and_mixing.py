@@ -148,3 +148,19 @@ def test_lots_of_one_partition_count_as_met_again():
     for b in batches:
         merged.add(b.column(1), b.column(2))
     assert len(batches) > 1 and has(merged.twice, positions(np.arange(8), layout.bits)).all()
+
+
+def test_ranges_are_read_where_files_cannot_be_mapped(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from trelliq.llm import bloom
+
+    hashes = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64)
+    layout = Layout.of(len(hashes) * 2, 1 << 16)
+    folder = build(np.r_[hashes, hashes[:500]], layout, 3, tmp_path, spark)
+    mapped = repeated(folder, layout, hashes)
+    reader = bloom.RangeFiles(folder)
+    reader.files, reader.path = fs.SubTreeFileSystem("/", fs.LocalFileSystem()), reader.path.lstrip("/")
+    monkeypatch.setitem(bloom._opened, folder, reader)
+    assert (repeated(folder, layout, hashes) == mapped).all() and mapped[:500].all()
+    assert layout.ranges > bloom.KEEP >= sum(x is not None for x in reader.ranges.values())

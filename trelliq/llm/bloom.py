@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trelliq.session import new_place, ship
+from trelliq.session import new_place, ship, store
 
 BITS_PER_HASH = 12
 PROBES = 3
@@ -147,13 +147,6 @@ class Merged:
         return self.twice.tobytes() if self.twice.any() else None
 
 
-def store(uri: str):
-    """(file system, path) of a folder for Python code that runs in tasks."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def range_files(rows: DataFrame, name: str, begin: Callable, columns: int) -> str:
     """Folder in the shared storage with one file for each value of ``range``, the first of the columns of ``rows``.
 
