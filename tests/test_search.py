@@ -101,7 +101,7 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["faithfulness_scores", "bm25_topk", "sweep_results", "config_matrix", "index_gap", "hard_negatives", "ir_eval"])
+@pytest.mark.parametrize("name", ["faithfulness_scores", "bm25_topk", "sweep_results", "config_matrix", "index_gap", "hard_negatives", "ir_eval", "ir_eval_own_index"])
 def test_pairs_are_not_shuffled(spark, folder, name):
     before = shuffled(spark)
     assert entry.queries()[name](spark, folder).collect()
