@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from trelliq.operators import lexical
+from trelliq.session import written
 from trelliq.sources.tables import CORPUS, MERGED
 
 QUERIES, PASSAGES = 300, 1500
@@ -106,3 +107,25 @@ def test_pairs_are_not_shuffled(spark, folder, name):
     before = shuffled(spark)
     assert entry.queries()[name](spark, folder).collect()
     assert shuffled(spark) - before < QUERIES * PASSAGES / 4
+
+
+def test_words_of_a_passage_are_cut_alike_in_both_ways(spark):
+    """Plain texts are cut by Arrow, others by Spark: each plain character stands alone, within a word, and between capitals."""
+    points = [c for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{chr(c)} a{chr(c)}b A{chr(c)} {chr(c)}Z {chr(c)}{chr(c)}" for c in points] + ["", " ., ", "Ünd_w2 É9’s “X”"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", lexical.plain("text").alias("p"), lexical.tokens("text").alias("w")).collect()
+    easy = [r for r in rows if r["p"]]
+    assert {chr(0x130), "Σ", "́"}.isdisjoint({t[0] for t in (r["text"] for r in easy) if t}) and len(easy) > 600
+    vocabulary = pa.array(sorted({w for r in rows for w in r["w"]}))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(r["i"]) for r in rows]), pa.array([r["text"] if r["p"] else None for r in rows]), pa.array([None if r["p"] else r["w"] for r in rows], pa.list_(pa.string()))], ["id", "plain", "words"])
+    got = {int(x["id"]): (x["length"], [vocabulary[j].as_py() for j in x["words"]]) for b in lexical.numbered(batch, vocabulary) for x in b.to_pylist()}
+    assert got == {r["i"]: (len(r["w"]), r["w"]) for r in rows if r["w"]}
+
+
+def test_only_asked_words_of_passages_are_kept(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(lexical, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    passages = spark.createDataFrame([("p1", "One two, two three"), ("p2", "four"), ("p3", "TWO Ωmega")], CORPUS)
+    found = lexical.bm25_runs(spark.createDataFrame([("q", "two ωmega absent")], "query_id string, query string"), passages, 5, [(1.2, 0.75)])
+    assert [r["id"] for r in found.orderBy("rank").collect()] == ["p3", "p1"]
+    assert {r["id"]: (r["lengths"], len(r["words"])) for r in tables["passage_words"].collect()} == {"p1": ([4], 2), "p2": ([1], 0), "p3": ([2], 2)}
