@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from trelliq.operators import lexical
+from trelliq.operators import integrity, lexical, splits
+from trelliq.plans import cleaning, mining
 from trelliq.session import written
 from trelliq.sources.tables import CORPUS, MERGED
 
@@ -129,3 +130,28 @@ def test_only_asked_words_of_passages_are_kept(spark, monkeypatch):
     found = lexical.bm25_runs(spark.createDataFrame([("q", "two ωmega absent")], "query_id string, query string"), passages, 5, [(1.2, 0.75)])
     assert [r["id"] for r in found.orderBy("rank").collect()] == ["p3", "p1"]
     assert {r["id"]: (r["lengths"], len(r["words"])) for r in tables["passage_words"].collect()} == {"p1": ([4], 2), "p2": ([1], 0), "p3": ([2], 2)}
+
+
+def calls(monkeypatch, module, name) -> list:
+    """One entry for each call of the function from now on."""
+    made, function = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a: made.append(name) or function(*a))
+    return made
+
+
+@pytest.mark.parametrize("name", ["ir_eval_own_index"])
+def test_kept_rows_are_made_once(spark, folder, monkeypatch, name):
+    made, parts = calls(monkeypatch, integrity, "drop_defects"), calls(monkeypatch, splits, "partitioned")
+    assert entry.queries()[name](spark, folder).collect()
+    assert len(made) == 1 and len(parts) == 1
+
+
+def test_labels_do_not_rank_listed_negatives(spark, folder, monkeypatch):
+    made = calls(monkeypatch, integrity, "clean_edges")
+    assert {r["split"] for r in mining.passage_labels(spark, folder).collect()} == {"train", "val", "test", "shared", "unused"}
+    assert not made
+
+
+def test_texts_of_kept_rows_are_shuffled_only_where_selected(spark, folder):
+    plan = cleaning.kept(spark, folder).select("query_id", "pos_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"WindowGroupLimit .*\n\W*Project \[query_id#\d+, pos_id#\d+, loaded_at#\d+, md5\(", plan)

@@ -1,6 +1,7 @@
 """Text rules on sentences made for them, with the results written out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trelliq.functions import text as t
 from trelliq.functions.encoders import hashed, hashed_vectors
@@ -54,3 +55,11 @@ def test_encoder(spark):
     df = spark.createDataFrame([("a", "one two"), ("b", ""), ("c", "two one")], "key string, text string").repartition(2)
     rows = {r["key"]: r["embedding"] for r in hashed(df, 16).collect()}
     assert rows["a"] == rows["c"] == hashed_vectors(["one two"], 16)[0].tolist() and not any(rows["b"])
+
+
+def test_blank_texts_and_matching_forms_at_every_white_space(spark):
+    points = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(chr(c), f"{chr(c)} {chr(c)}", f"{chr(c)}A  b{chr(c)}") for c in points], "one string, run string, text string")
+    same = [(t.blank(F.col(x)) == (t.trimmed(F.col(x)) == "")).alias(x) for x in ("one", "run", "text")]
+    found = rows.select(*same, (t.matching_form(F.col("text")) == t.trimmed(t.matching_form(F.col("text")))).alias("form"), t.blank(F.col("one")).alias("is_blank")).collect()
+    assert all(r["one"] and r["run"] and r["text"] and r["form"] for r in found) and sum(r["is_blank"] for r in found) == 29
