@@ -139,7 +139,7 @@ def calls(monkeypatch, module, name) -> list:
     return made
 
 
-@pytest.mark.parametrize("name", ["ir_eval_own_index"])
+@pytest.mark.parametrize("name", ["ir_eval_own_index", "hard_negatives"])
 def test_kept_rows_are_made_once(spark, folder, monkeypatch, name):
     made, parts = calls(monkeypatch, integrity, "drop_defects"), calls(monkeypatch, splits, "partitioned")
     assert entry.queries()[name](spark, folder).collect()
