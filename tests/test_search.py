@@ -152,6 +152,12 @@ def test_labels_do_not_rank_listed_negatives(spark, folder, monkeypatch):
     assert not made
 
 
+def test_whole_corpus_is_not_partitioned(spark, folder, monkeypatch):
+    made = calls(monkeypatch, splits, "partitioned")
+    assert {r["k"] for r in entry.queries()["ir_eval"](spark, folder).collect()} == {1, 5, 10}
+    assert not made
+
+
 def test_texts_of_kept_rows_are_shuffled_only_where_selected(spark, folder):
     plan = cleaning.kept(spark, folder).select("query_id", "pos_id")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"WindowGroupLimit .*\n\W*Project \[query_id#\d+, pos_id#\d+, loaded_at#\d+, md5\(", plan)
